@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, docpairs, split, tokens
+from . import ann, docpairs, handwritten, leakage, split, tokens, truncation
 
 
 def p1_pairs(spark, d):
@@ -40,7 +40,34 @@ def p7_counts(spark, d):
     return tokens.token_counts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_pairs, p1_found, p3_pieces, p3_found, p6_found, p6_recall, p7_ids, p7_counts)}
+def p4_labels(spark, d):
+    return handwritten.not_handwritten(table(spark, d, "files"))
+
+
+def p4_found(spark, d):
+    return p4_labels(spark, d).select("file_id").distinct()
+
+
+def p8_found(spark, d):
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark, d):
+    return p8_found(spark, d).groupBy("instance_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+def p9_found(spark, d):
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p9_rates(spark, d):
+    return truncation.truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_pairs, p1_found, p3_pieces, p3_found, p4_labels, p4_found, p6_found, p6_recall, p7_ids, p7_counts, p8_found, p8_items, p9_found, p9_rates)
+}
 
 SQL = {
     "p3_found": """
