@@ -26,6 +26,8 @@ from ..session import broadcast_if_small
 #: LIMIT_TIMES as many as the LIMIT_SPAN lengths on either side have on average.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_SPAN, LIMIT_LEAST = 5, 8, 15, 60
 SALTS = 8
+#: Characters at the end of a text within which a mark of omission lies.
+MARK_REACH = 120
 
 _OMITTED = re.compile(
     r"(?:\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|[\[(<{]+\s*(?:message |text |content |output |rest |comment |remainder )?(?:was |is |has been )?(?:truncated|cut( off)?|snip(ped)?|omitted|clipped|abridged|shortened|continued|more|gekürzt|abgeschnitten|tronqué|truncado|cortado)[^\])>}\n]{0,30}[\])>}]+|-{2,}\s*(?:truncated|snip|cut)[^\n]{0,20}-{2,}|(?:read|show|see) more\W*|<truncated>|\\u?[0-9a-fA-F]{0,3}|&#?\w{0,6}|%[0-9A-Fa-f]?))+\s*$",
@@ -112,10 +114,11 @@ def _strip_tail(text: str) -> tuple[str, str]:
             if t[-1] == "\ufffd":
                 marks += t[-1]
             t = t[:-1].rstrip()
-        m = _OMITTED.search(t)
+        from_ = max(0, len(t) - MARK_REACH)
+        m = _OMITTED.search(t[from_:])
         if m and m[0].strip():
             marks += m[0]
-            t = t[: m.start()].rstrip()
+            t = t[: from_ + m.start()].rstrip()
         if t == text:
             return t, marks
         text = t
