@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import dot, token_buckets
-from ..operators import catalog, edges, evaluate, snapshot
+from ..operators import catalog, edges, evaluate, parsers, snapshot
 from ..session import table
 from .retrieval_queries import BASE
 
@@ -250,6 +250,16 @@ def term_lookup(s, d):
     return docs.select("doc_id", hit.alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def parse_sources(s, d):
+    paths = _files(s, d).select(F.col("id").alias("file_id"), "path")
+    src = table(s, d, "source_files").select("file_id", F.col("content").alias("text")).join(paths, "file_id")
+    return parsers.parse_files(src).select("file_id", "language", F.size("symbols").alias("n_symbols"), F.size("imports").alias("n_imports"), "summary", "error")
+
+
+def path_tags(s, d):
+    return _files(s, d).select("id", F.array_join(parsers.path_tags("path"), " ").alias("tags"))
+
+
 def best_per_path(s, d):
     f = table(s, d, "files").where("path is not null").select("path", F.length(F.coalesce("summary", F.lit(""))).alias("score"), "id", "indexed_at")
     w = Window.partitionBy("path").orderBy(F.desc("score"), "id", F.desc("indexed_at"))
@@ -324,6 +334,6 @@ QUERIES = {
     for f in (
         glob_filter, effective_excludes, repo_files, repo_lookup, list_repos, list_memories, vector_dims, snippet_lines, log_recent, log_stage_counts, classify_files, skip_paths, active_memories, doc_parse, checksum, embed_bow, vector_topk,
         graph_neighbors, graph_edges, contains_edges, import_edges, test_cover_edges, doc_edges, config_edges, memory_links, memory_from_docs, parent_resolution, change_diff, prune, upsert, cascade, reconcile, nested_exclusion, memory_link_targets,
-        gold_spans, span_overlap, baseline_retriever, row_filters, skip_accounting, term_lookup, best_per_path,
+        gold_spans, span_overlap, baseline_retriever, row_filters, skip_accounting, term_lookup, best_per_path, parse_sources, path_tags,
     )
 }
