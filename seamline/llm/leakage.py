@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +37,17 @@ BROADCAST_TERMS = 1_000_000
 _TAG = re.compile(r"</?[a-zA-Z!][^<>\n]{0,200}>")
 _LINE_MARK = re.compile(r"^[ \t]*(?:[>|]+[ \t]*)*(?:\d{1,4}[.):|][ \t]+)?", re.M)
 _WORD = re.compile(r"[^\W_]+")
+_INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
 
 
 def words(text: str | None) -> list[str]:
     """Words without letter case, punctuation, markup, quote and line marks, and spacing."""
     if not text:
         return []
-    t = unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text)))
-    t = "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Mn")) if not t.isascii() else t
-    t = unicodedata.normalize("NFC", t)
+    t = _TAG.sub(" ", text) if "<" in text else text
+    t = html.unescape(t) if "&" in t else t
+    if not t.isascii():
+        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
     return _WORD.findall(_LINE_MARK.sub("", t).lower().replace("’", "'").replace("'", ""))
 
 
@@ -102,10 +105,13 @@ def rarest_terms(terms: DataFrame, index: DataFrame) -> DataFrame:
     return ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") > LEFT_OUT // 2).select("instance_id", "at", "term")
 
 
-def _passage(d: np.ndarray, q: np.ndarray, top: int) -> bool:
-    """Alignment with at most ``top`` changes. far[e, j]: words of the longest segment of q
-    that begins with an equal word, has e changes and ends with word j of d."""
-    none = -(10**6)
+def _passage(d: np.ndarray, q: np.ndarray, top: int) -> int:
+    """Length of the longest aligned segment with at most ``top`` changes, as far as a passage is found.
+
+    far[e, j]: words of the longest segment of q that begins with an equal word,
+    has e changes and ends with word j of d. Returns PASSAGE or more at the first
+    passage."""
+    none, longest = -(10**6), 0
     far = np.full((top + 1, len(d) + 1), none, dtype=np.int32)
     for x in q:
         now = np.full_like(far, none)
@@ -113,15 +119,16 @@ def _passage(d: np.ndarray, q: np.ndarray, top: int) -> bool:
             same = d == x
             for e in range(top + 1):
                 best = np.where(same, (np.maximum(far[0, :-1], 0) if e == 0 else far[e, :-1]) + 1, none)
-                if best.max(initial=none) >= max(PASSAGE, CHANGED * e):
-                    return True
+                longest = max(longest, int(best.max(initial=none)))
+                if longest >= PASSAGE and best.max(initial=none) >= max(PASSAGE, CHANGED * e):
+                    return longest
                 if e:
                     np.maximum(best, far[e - 1, :-1] + 1, out=best)  # changed
                     np.maximum(best, far[e - 1, 1:] + 1, out=best)  # dropped
                     np.maximum(best, now[e - 1, :-1], out=best)  # added
                 now[e, 1:] = best
         far = now
-    return False
+    return min(longest, PASSAGE - 1)
 
 
 def aligned(doc: list[str], item: list[str], common: list[bool]) -> bool:
@@ -131,7 +138,9 @@ def aligned(doc: list[str], item: list[str], common: list[bool]) -> bool:
     d = np.array([ids.setdefault(x, len(ids)) for x in doc])
     q = np.array([-1 if c else ids.get(x, -2) for x, c in zip(item, common)])
     few, all_ = PASSAGE // CHANGED, len(q) // CHANGED
-    return _passage(d, q, few) or all_ > few and _passage(d, q, all_)
+    short = _passage(d, q, few)
+    # a longer passage with more changes has a stretch of at least half a passage with these few
+    return short >= PASSAGE or all_ > few and short >= PASSAGE // 2 and _passage(d, q, all_) >= PASSAGE
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -159,9 +168,12 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
             yield b.loc[ok, ["doc_id", "instance_id"]]
 
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    # aligning costs far more than its bytes suggest: keep the partitions from being coalesced
+    width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         pairs.join(texts, "doc_id").join(broadcast_if_small(own, 20_000), "instance_id")
         .select("doc_id", "instance_id", "text", "w", "common")
+        .repartition(width, "doc_id", "instance_id")
         .mapInPandas(check, "doc_id long, instance_id string")
         .distinct()
     )
