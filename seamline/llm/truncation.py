@@ -46,6 +46,8 @@ _SIGN = re.compile(r"^\s*(?:~|—|--|–)\s*\S")
 _SETTING = re.compile(r"""^\s*(?:export\s+)?["']?[\w.\-/]+["']?\s*[=:]\s*(?:-?\d[\w.:+-]*|true|false|null|none|yes|no|on|off|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[\[{].*[\]}])\s*(?:,|;|[#;].*)?$""", re.I)
 _SECTION = re.compile(r"^\s*\[{1,2}[\w.\- \"']+\]{1,2}\s*$")
 _CODE_LINE = re.compile(r"^\s*(?:def |class |return\b|import |from \w+(?:\.\w+)* import |function\b|const |let |var |if .*:$|for .*:$|while .*:$|else:|try:|except|with .*:$|async |export |@\w+|[\w.\[\]]+\s*=\s*[\w.]+\(|[\w.]+\.\w+\(|[\w.]+\(.*\)\s*[;{]?$|[})\]]+[;,]?$)")
+# Words that nothing complete ends with.
+_DANGLING = frozenset("the a an and or of to for with from that which who whose because although while whether if than its their our your my is are was were been being der die das ein eine und oder von zu mit dass weil le la les un une des et ou de du que el los las una y o con por para".split())
 _ENDS = ".!?。！？؟।"
 _CLOSERS = "\"'”’»›)]}*_`›」』）"
 _PAIRS = {")": "(", "]": "[", "}": "{"}
@@ -259,6 +261,8 @@ def _judge_line(core: str, lines: list[str], marks: str) -> tuple[str, str, str]
     if _TRAILER.match(bare):
         return ("cut", "ref", "")
     kind = _kind(bare)
+    if _last_word(bare) in _DANGLING and len(bare.split()) > 2:
+        return ("cut", kind, "")
     if kind in ("list", "heading"):
         return ("cut", kind, "") if _unclosed(lines[-1:]) else ("ask", kind, _last_word(bare))
     if _CODE_LINE.match(lines[-1]) and bare[-1] in ")}];" and not _unclosed(lines[-1:]):
@@ -326,7 +330,7 @@ def judged(documents: DataFrame) -> DataFrame:
             v = [judge(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "verdict": [x[0] for x in v], "kind": [x[1] for x in v], "word": [x[2] for x in v], "chars": b["chars"], "octets": b["octets"]})
 
-    texts = documents.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "source", "text", F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
+    texts = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "source", "text", F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
     return texts.mapInPandas(run, "doc_id long, source string, verdict string, kind string, word string, chars int, octets int")
 
 
@@ -338,7 +342,7 @@ def line_ends(documents: DataFrame) -> DataFrame:
             n = Counter(x for t in b["text"] for x in _baseline_lines(t))
             yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "word", "n"])
 
-    counted = documents.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("text").mapInPandas(run, "kind string, word string, n long")
+    counted = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).select("text").mapInPandas(run, "kind string, word string, n long")
     total = counted.groupBy("kind").agg(F.sum("n").alias("total"))
     return counted.groupBy("kind", "word").agg(F.sum("n").alias("n")).join(F.broadcast(total), "kind").select("kind", "word", "n", "total")  # one row per kind
 
