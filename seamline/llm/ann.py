@@ -28,7 +28,7 @@ from ..session import broadcast_if_small, cut
 
 TABLES, PROBES, PROBE_RATIO = 2, 3, 0.8
 #: Vectors a bucket is meant to hold; above CROWD it is hashed again, at most LEVELS times.
-BUCKET, CROWD, LEVELS = 2_000, 40_000, 4
+BUCKET, CROWD, LEVELS = 7_000, 40_000, 4
 #: Error bound of a cosine of 16-bit vectors, with room.
 SLACK = 2e-4
 SEED = 20240
