@@ -48,7 +48,7 @@ def glob_filter(s, d):
 
 def effective_excludes(s, d):
     r = catalog.once(table(s, d, "repos"))
-    return r.select("id", F.array_join(F.array_distinct(F.concat(F.coalesce("exclude_globs", F.array().cast("array<string>")), F.array(*map(F.lit, EXCLUDE)))), " ").alias("globs"))
+    return r.select("id", F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("exclude_globs", F.array().cast("array<string>")), F.array(*map(F.lit, EXCLUDE))))), " ").alias("globs"))
 
 
 def repo_files(s, d):
@@ -278,6 +278,7 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 SQL = {
     "glob_filter": BASE + f" SELECT id, path FROM files_now WHERE regexp_matches(path, '{_any(INCLUDE)}') AND NOT regexp_matches(path, '{_any(EXCLUDE)}')",
+    "effective_excludes": f"SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_concat(coalesce(exclude_globs, []), [{', '.join(repr(g) for g in EXCLUDE)}]))), ' ') AS globs FROM repos",
     "repo_files": BASE + " SELECT repo_id, language, count(*) AS n FROM files_now GROUP BY ALL",
     "repo_lookup": "SELECT DISTINCT id, name, local_path FROM repos WHERE name LIKE 'dakzo%'",
     "list_repos": "SELECT id, name, row_number() OVER (ORDER BY name, id) AS nth FROM (SELECT DISTINCT id, name FROM repos)",
