@@ -9,7 +9,9 @@ could change the result, cosines are recomputed from the stored vectors.
 
 Code length follows the number of vectors, so that an ordinary bucket stays
 small. A bucket that is still crowded, as when a third of all vectors lie close
-together, is hashed again by what distinguishes its vectors from their mean.
+together, is compared whole: it is cut into blocks, and every two blocks meet in
+a task of their own. Hashing it again would lose neighbours, since within a tight
+group they are only weakly alike in what distinguishes them from the mean.
 Equal vectors are compared once per bucket.
 """
 
@@ -27,8 +29,10 @@ from ..functions.keys import node_kind
 from ..session import broadcast_if_small, cut
 
 TABLES, PROBES, PROBE_RATIO = 2, 3, 0.8
-#: Vectors a bucket is meant to hold; above CROWD it is hashed again, at most LEVELS times.
-BUCKET, CROWD, LEVELS = 7_000, 40_000, 4
+#: Vectors a bucket is meant to hold; above CROWD rows it is compared in blocks of BLOCK rows.
+BUCKET, CROWD, BLOCK = 7_000, 40_000, 20_000
+#: Times that ``split_crowded`` hashes again at most.
+LEVELS = 4
 #: Error bound of a cosine of 16-bit vectors, with room.
 SLACK = 2e-4
 SEED = 20240
@@ -135,7 +139,10 @@ def _bucket_rows(hashed: DataFrame) -> DataFrame:
 
 
 def split_crowded(rows: DataFrame, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
-    """Hash the vectors of crowded buckets again by their difference from the bucket's mean."""
+    """Hash the vectors of crowded buckets again by their difference from the bucket's mean.
+
+    Loses neighbours, so ``nearest_neighbours`` uses ``block_crowded`` instead.
+    """
     for level in range(levels):
         crowded = rows.where("own").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
         crowded = cut(crowded)
@@ -179,6 +186,21 @@ def split_crowded(rows: DataFrame, crowd: int = CROWD, levels: int = LEVELS) ->
     return rows
 
 
+def block_crowded(rows: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """Cut crowded buckets into blocks; every two blocks of a bucket become a bucket, so that all its vectors still meet.
+
+    Equal vectors stay in one block. The work of a crowded bucket grows with the
+    square of its rows, spread over as many tasks as there are pairs of blocks.
+    """
+    crowded = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("bucket", F.greatest(F.lit(2), F.ceil(F.col("n") / block)).cast("int").alias("blocks")))
+    if crowded.isEmpty():
+        return rows
+    keys = broadcast_if_small(crowded, 100_000)
+    hot = rows.join(keys, "bucket").withColumn("block", F.pmod(F.xxhash64("packed"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block != other")
+    met = hot.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "own", "id", "packed")
+    return rows.join(keys, "bucket", "left_anti").unionByName(met)
+
+
 def _best_of(ids: np.ndarray, own: np.ndarray, packed: list[bytes], keep: int, least: float) -> Iterator[tuple]:
     """(src, dst, cosine) arrays: for each vector of a bucket its ``keep`` most similar others."""
     _, first = np.unique(ids * 2 + ~own, return_index=True)  # own copy of an id first
@@ -279,7 +301,7 @@ def _exact(pairs: DataFrame, clean: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").join(x, "src").join(y, "dst").select("src", "dst", cosine("a", "b").alias("cosine"))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(src, dst, cosine, rank): for every vector its k most similar of the same kind and length.
 
     Only cosines of at least ``least`` count. Null, zero and non-finite vectors
@@ -289,7 +311,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9) -> Da
     clean = clean_vectors(vectors)
     extra = {r["grp"]: extra_axes(r["n"]) for r in clean.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 128 * BUCKET).collect()}  # one row per kind and length
     hashed = cut(hash_vectors(clean, extra))
-    rows = split_crowded(_bucket_rows(hashed))
+    rows = block_crowded(_bucket_rows(hashed), crowd, block)
     found = cut(candidates(rows, k + 3, least - SLACK).groupBy("src", "dst").agg(F.max("cosine").alias("cosine")))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.round("cosine", 6).desc(), "dst"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k + 3)

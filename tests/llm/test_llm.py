@@ -174,6 +174,18 @@ def test_crowded_buckets_are_split(spark):
     assert spread.where("own").groupBy("id").count().agg(F.min("count")).first()[0] == ann.TABLES
 
 
+def test_crowded_buckets_lose_no_neighbour(spark):
+    rng = np.random.default_rng(3)
+    centre, rest = rng.normal(size=64), rng.normal(size=(1500, 64))
+    centre /= np.linalg.norm(centre)
+    rest -= np.outer(rest @ centre, centre)
+    x = [(i, (0.95 * centre + 0.31 * r / np.linalg.norm(r)).tolist()) for i, r in enumerate(rest)]
+    x += [(2000 + i, x[0][1]) for i in range(3)]
+    got = {(r.src, r.dst) for r in ann.nearest_neighbours(_vectors(spark, x), 5, 0.9, crowd=300, block=200).collect()}
+    true = {(r.src, r.dst) for r in ann.brute_force(_vectors(spark, x), _vectors(spark, x)).collect()}
+    assert len(true) == 5 * len(x) and len(got & true) >= 0.999 * len(true)
+
+
 def test_recall(spark):
     r = ann.recall(spark.read.parquet(f"{DATA}/node_embeddings.parquet"), every=5).first()
     assert r.n_true == 0 or r.recall >= 0.9
