@@ -163,7 +163,7 @@ def current_files(files: DataFrame) -> DataFrame:
 def excerpt_features(current: DataFrame) -> DataFrame:
     """(file_id, repo_id, said, head, shape, text, bands): what each excerpt shows, with MinHash bands.
 
-    text is the masked head where there is one, else the masked excerpt.
+    text is the masked excerpt; a file whose masked head has a shingle has a second row for that.
     """
     rng = np.random.default_rng(11)
     seeds = rng.integers(1, 2**63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
@@ -175,14 +175,18 @@ def excerpt_features(current: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for f, r, said, path, e in zip(b["file_id"], b["repo_id"], b["said"], b["path"], b["excerpt"]):
-                head, shape, tokens = "", "", []
+                head, shape, texts = "", "", [[]]
                 if e and e.strip():
                     head = head_says(e)
                     shape = "blob" if looks_like_data(e, path) else "minified" if looks_minified(e) else ""
-                    tokens = masked_tokens(head_comment(e)) or masked_tokens(e)
-                sig = _signature(tokens, seeds)
-                bands = [] if sig is None else [xxhash.xxh64_intdigest(sig[k * rows : (k + 1) * rows].tobytes(), seed=k) >> 1 for k in range(BANDS)]
-                out.append((f, r, said, head, shape, " ".join(tokens), bands))
+                    texts = [masked_tokens(e)]
+                    top = masked_tokens(head_comment(e))
+                    if len(top) >= SHINGLE and top != texts[0]:
+                        texts.append(top)
+                for tokens in texts:
+                    sig = _signature(tokens, seeds)
+                    bands = [] if sig is None else [xxhash.xxh64_intdigest(sig[k * rows : (k + 1) * rows].tobytes(), seed=k) >> 1 for k in range(BANDS)]
+                    out.append((f, r, said, head, shape, " ".join(tokens), bands))
             yield pd.DataFrame(out, columns=["file_id", "repo_id", "said", "head", "shape", "text", "bands"])
 
     return current.select("file_id", "repo_id", "said", "path", "excerpt").mapInPandas(run, "file_id long, repo_id long, said string, head string, shape string, text string, bands array<long>")
@@ -195,7 +199,7 @@ def clusters(features: DataFrame) -> DataFrame:
     pairs are verified by the similarity of their shingle sets, and labels are
     propagated by minimum until nothing changes.
     """
-    classes = cut(features.where(F.size("bands") > 0).groupBy("text").agg(F.first("bands").alias("bands"), F.min("file_id").alias("cls")))
+    classes = cut(features.where(F.size("bands") > 0).groupBy("text").agg(F.first("bands").alias("bands")).withColumn("cls", F.xxhash64("text")))
     band = classes.select("cls", F.explode("bands").alias("band"))
     least = band.groupBy("band").agg(F.min("cls").alias("other"))
     pairs = band.join(least, "band").where("cls > other").select("cls", "other").distinct()
@@ -240,9 +244,10 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     )
     # a cluster speaks if its members show it, whatever their paths; the share rules out ordinary code
     loud = labels.where((F.col("n_shown") >= PURE * F.col("n")) & F.col("label").isNotNull()).select("cluster", F.col("label").alias("of_cluster"), "repos")
+    # of a file's two texts the least label counts if both clusters speak
     judged = features.select("file_id", "said", "text", shown.alias("shown")).join(
         broadcast_if_small(member.select("text", "cluster").distinct().join(loud, "cluster").select("text", "of_cluster"), 200_000), "text", "left"
-    )
+    ).groupBy("file_id", "said", "shown").agg(F.min("of_cluster").alias("of_cluster"))
     label = F.coalesce("said", "of_cluster", "shown")
     evidence = F.when(F.col("said").isNotNull(), "path or tags").when(F.col("of_cluster").isNotNull(), "cluster").otherwise("excerpt")
     return judged.where(label.isNotNull()).select("file_id", label.alias("label"), evidence.alias("evidence"))

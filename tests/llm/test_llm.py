@@ -130,6 +130,20 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def _excerpts(spark, texts):
+    return spark.createDataFrame([(i, i, f"src/f{i}.ts", [], i, {"content_excerpt": e}) for i, e in texts.items()], "id long, repo_id long, path string, tags array<string>, indexed_at int, metadata_json map<string,string>")
+
+
+def test_bodies_meet_under_other_headers(spark):
+    body = "\n".join(f"export function go{'(' * (k % 4)}n{')' * (k % 4)} {'{ return' if k % 3 else '[ throw'} a{'+' * (k % 5)}b; }}" for k in range(40))
+    same = handwritten.excerpt_features(handwritten.current_files(_excerpts(spark, {1: "// utils\n" + body, 2: "// sums\n// of all kinds of rows, and more\n" + body, 3: "// sums\n// of all kinds of rows, and more\nlet x;"}))).cache()
+    assert {r.file_id for r in same.where(F.size("bands") > 0).collect()} == {1, 2, 3}
+    of = {}
+    for r in same.join(handwritten.clusters(same), "text").collect():
+        of.setdefault(r.file_id, set()).add(r.cluster)
+    assert of[1] & of[2] and of[2] & of[3] and not of[1] & of[3]
+
+
 # 6 -------------------------------------------------------------------------
 
 
