@@ -25,6 +25,8 @@ from ..session import broadcast_if_small, cut
 
 SHINGLE, SIMILAR = 5, 0.8
 HASHES, BANDS = 64, 16
+#: Parts of a band whose pairs are made apart.
+SALTS = 8
 #: A cluster lends a label if at least this share of its members that path or tags mark, or
 #: whose head says so, carry it; and if at least this share of all members do.
 PURE = 0.5
@@ -195,14 +197,14 @@ def excerpt_features(current: DataFrame) -> DataFrame:
 def clusters(features: DataFrame) -> DataFrame:
     """(text, cluster): equal masked texts are one class; similar classes are joined to clusters.
 
-    Classes that share a band are paired with the least class of the band, the
-    pairs are verified by the similarity of their shingle sets, and labels are
-    propagated by minimum until nothing changes.
+    Classes that share a band are verified by the similarity of their shingle
+    sets, and labels are propagated by minimum until nothing changes. Each class
+    is paired with the least class of its bands first; then all pairs of a band
+    that are not joined yet are verified, salted, so that no link is lost.
     """
     classes = cut(features.where(F.size("bands") > 0).groupBy("text").agg(F.first("bands").alias("bands")).withColumn("cls", F.xxhash64("text")))
-    band = classes.select("cls", F.explode("bands").alias("band"))
+    band = classes.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
     least = band.groupBy("band").agg(F.min("cls").alias("other"))
-    pairs = band.join(least, "band").where("cls > other").select("cls", "other").distinct()
     a = classes.select("cls", F.col("text").alias("a"))
     b = classes.select(F.col("cls").alias("other"), F.col("text").alias("b"))
 
@@ -214,15 +216,29 @@ def clusters(features: DataFrame) -> DataFrame:
 
         return pd.Series([len(p & q) / max(1, len(p | q)) for p, q in ((sh(s), sh(t)) for s, t in zip(x, y))], dtype="float64")
 
-    links = cut(pairs.join(a, "cls").join(b, "other").where(jaccard("a", "b") >= SIMILAR).select("cls", "other"))
-    edges = cut(links.unionByName(links.select(F.col("other").alias("cls"), F.col("cls").alias("other"))))
-    label = cut(classes.select("cls", F.col("cls").alias("cluster")))
-    while True:
-        near = edges.join(label.select(F.col("cls").alias("other"), F.col("cluster").alias("near")), "other").groupBy("cls").agg(F.min("near").alias("near"))
-        new = cut(label.join(near, "cls", "left").select("cls", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
-        label = new.select("cls", "cluster")
-        if new.where("moved").isEmpty():
-            break
+    def verified(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.distinct().join(a, "cls").join(b, "other").where(jaccard("a", "b") >= SIMILAR).select("cls", "other"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        edges = cut(links.unionByName(links.select(F.col("other").alias("cls"), F.col("cls").alias("other"))))
+        label = cut(classes.select("cls", F.col("cls").alias("cluster")))
+        while True:
+            near = edges.join(label.select(F.col("cls").alias("other"), F.col("cluster").alias("near")), "other").groupBy("cls").agg(F.min("near").alias("near"))
+            new = cut(label.join(near, "cls", "left").select("cls", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
+            label = new.select("cls", "cluster")
+            if new.where("moved").isEmpty():
+                return label
+
+    links = verified(band.join(least, "band").where("cls > other").select("cls", "other"))
+    label = joined(links)
+    held = band.join(label, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    mixed = held.groupBy("band").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("band")
+    held = cut(held.join(mixed, "band", "left_semi"))
+    every = held.select(F.col("cls").alias("other"), F.col("cluster").alias("of_other"), "band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    apart = held.join(every, ["band", "salt"]).where("cls > other and cluster != of_other").select("cls", "other")
+    more = verified(apart)
+    if not more.isEmpty():
+        label = joined(links.unionByName(more))
     return classes.select("cls", "text").join(label, "cls").select("text", "cluster")
 
 

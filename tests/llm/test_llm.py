@@ -144,6 +144,19 @@ def test_bodies_meet_under_other_headers(spark):
     assert of[1] & of[2] and of[2] & of[3] and not of[1] & of[3]
 
 
+def test_clusters_lose_no_link(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = {"A": words[:60] + [f"a{i}" for i in range(40)], "B": words, "C": words[:96] + ["c1", "c2", "c3", "c4"]}  # B and C are similar, A to neither
+    texts = {k: " ".join(v) for k, v in texts.items()}
+    for least in "ABC":  # whichever is least in the band that all three share
+        for swap in range(2):
+            rows = [(t + f" {least}{swap}", [7]) for t in texts.values()]
+            got = [r.cluster for r in handwritten.clusters(spark.createDataFrame(rows, "text string, bands array<long>")).orderBy("text").collect()]
+            by = dict(zip(sorted(r[0] for r in rows), got))
+            x, y, z = (by[r[0]] for r in rows)
+            assert y == z != x
+
+
 # 6 -------------------------------------------------------------------------
 
 
