@@ -87,13 +87,21 @@ def config_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def memory_links(memories: DataFrame, files: DataFrame, stop: tuple[str, ...] = T.STOPWORDS, best: int = 4) -> DataFrame:
-    """(memory_id, file_id, n_terms, nth): for each memory the files of its repository whose path and summary hold most of its words."""
+def memory_links(memories: DataFrame, files: DataFrame, symbols: DataFrame, stop: tuple[str, ...] = T.STOPWORDS, best: int = 4) -> DataFrame:
+    """(memory_id, node_kind, node_id, score, nth): for each memory the files and symbols of its repository that hold most of its words.
+
+    The score is the number of shared words, one more for a symbol; ties go to
+    symbols, then to the greater id.
+    """
     words = memories.where(F.col("repo_id").isNotNull()).select("repo_id", F.col("id").alias("memory_id"), F.array_distinct(F.filter(T.pieces(F.lower(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")), "content")), 4), lambda t: ~t.isin(*stop))).alias("terms"))
-    hay = F.lower(F.concat_ws(" ", "path", F.coalesce("summary", F.lit(""))))
-    pieces = files.select("repo_id", F.col("id").alias("file_id"), F.explode(F.array_distinct(T.pieces(hay, 4, r"[^\p{L}\p{N}]+"))).alias("word"))
-    hits = words.select("repo_id", "memory_id", F.explode("terms").alias("word")).join(pieces, ["repo_id", "word"]).groupBy("memory_id", "file_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    w = Window.partitionBy("memory_id").orderBy(F.desc("n_terms"), F.desc("file_id"))
+
+    def nodes(df, kind, *columns):
+        hay = F.lower(F.concat_ws(" ", *columns))
+        return df.select("repo_id", F.lit(kind).alias("node_kind"), F.col("id").alias("node_id"), F.explode(F.array_distinct(T.pieces(hay, 4, r"[^\p{L}\p{N}]+"))).alias("word"))
+
+    pieces = nodes(files, "file", "path", "summary").unionByName(nodes(symbols, "symbol", "name", "qualified_name", "summary"))
+    hits = words.select("repo_id", "memory_id", F.explode("terms").alias("word")).join(pieces, ["repo_id", "word"]).groupBy("memory_id", "node_kind", "node_id").agg((F.count(F.lit(1)) + (F.col("node_kind") == "symbol").cast("long")).alias("score"))
+    w = Window.partitionBy("memory_id").orderBy(F.desc("score"), F.desc("node_kind"), F.desc("node_id"))
     return hits.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= best)
 
 

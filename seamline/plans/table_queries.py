@@ -154,7 +154,7 @@ def config_edges(s, d):
 
 
 def memory_links(s, d):
-    return edges.memory_links(_memories(s, d), _files(s, d))
+    return edges.memory_links(_memories(s, d), _files(s, d), _symbols(s, d))
 
 
 def memory_from_docs(s, d):
