@@ -65,7 +65,7 @@ def list_repos(s, d):
 
 def list_memories(s, d):
     w = Window.partitionBy("repo_id").orderBy(F.desc("updated_at"), "id")
-    return _memories(s, d).where("repo_id is not null").withColumn("nth", F.row_number().over(w)).where("nth <= 10").select("repo_id", "id", "nth")
+    return _memories(s, d).where("repo_id is not null").withColumn("nth", F.row_number().over(w)).select("repo_id", "id", "nth")
 
 
 def vector_dims(s, d):

@@ -14,3 +14,11 @@ def test_memory_links_of_both_kinds(spark):
     s = spark.createDataFrame([(2, 1, "seal", "lease.seal", "router of the worker"), (9, 1, "run", "x.run", "Lease"), (4, 2, "lease", None, None)], "id long, repo_id long, name string, qualified_name string, summary string")
     got = {(r.node_kind, r.node_id, r.score, r.nth) for r in edges.memory_links(m, f, s).collect()}
     assert got == {("symbol", 2, 4, 1), ("symbol", 9, 2, 2), ("file", 2, 2, 3), ("file", 3, 1, 4)}
+
+
+def test_every_memory_is_listed(spark):
+    all_ = {(r.repo_id, r.id) for r in table_queries._memories(spark, DATA).where("repo_id is not null").collect()}
+    got = {(r.repo_id, r.id) for r in table_queries.list_memories(spark, "/root/testdata/sf0.01").collect()}
+    more = {(r.repo_id, r.id) for r in table_queries._memories(spark, "/root/testdata/sf0.01").where("repo_id is not null").collect()}
+    assert got == more and {(r.repo_id, r.id) for r in table_queries.list_memories(spark, DATA).collect()} == all_
+    assert max(r.nth for r in table_queries.list_memories(spark, "/root/testdata/sf0.1").collect()) > 10
