@@ -22,3 +22,16 @@ def test_every_memory_is_listed(spark):
     more = {(r.repo_id, r.id) for r in table_queries._memories(spark, "/root/testdata/sf0.01").where("repo_id is not null").collect()}
     assert got == more and {(r.repo_id, r.id) for r in table_queries.list_memories(spark, DATA).collect()} == all_
     assert max(r.nth for r in table_queries.list_memories(spark, "/root/testdata/sf0.1").collect()) > 10
+
+
+def test_topk_of_every_fiftieth_vector(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    ids, v = e["vec_id"].to_numpy(), np.stack(e["embedding"].to_numpy()).astype(float)
+    got = {}
+    for r in table_queries.vector_topk(spark, DATA).collect():
+        got.setdefault(r.query_id, {})[r.nth] = (r.vec_id, round(r.sim, 4))
+    assert set(got) == {i for i in ids if i % 50 == 0}
+    for i in got:
+        sim = np.round(v @ v[ids == i][0], 6)
+        best = [j for j in np.lexsort((ids, -sim)) if ids[j] != i and sim[j] > 0][:10]
+        assert [got[i][n][1] for n in sorted(got[i])] == [round(float(sim[j]), 4) for j in best]
