@@ -125,7 +125,7 @@ def graph_neighbors(s, d):
     e = _edges(s, d).where("fid is not null and tid is not null")
     same = (F.col("fk") == F.col("tk")) & (F.col("fid") == F.col("tid"))
     both = e.select(F.col("fk").alias("kind"), F.col("fid").alias("node"), "id", F.col("tk").alias("to_kind"), F.col("tid").alias("to_id")).unionByName(e.where(~same).select(F.col("tk").alias("kind"), F.col("tid").alias("node"), "id", F.col("fk").alias("to_kind"), F.col("fid").alias("to_id")))
-    return both.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "node").orderBy("id"))).where("nth <= 3")
+    return both.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "node").orderBy("id"))).where("nth <= 20")
 
 
 def graph_edges(s, d):

@@ -35,3 +35,14 @@ def test_topk_of_every_fiftieth_vector(spark):
         sim = np.round(v @ v[ids == i][0], 6)
         best = [j for j in np.lexsort((ids, -sim)) if ids[j] != i and sim[j] > 0][:10]
         assert [got[i][n][1] for n in sorted(got[i])] == [round(float(sim[j]), 4) for j in best]
+
+
+def test_neighbours_up_to_the_limit_of_the_reference(spark):
+    n = {}
+    for r in table_queries._edges(spark, DATA).where("fid is not null and tid is not null").select("fk", "fid", "tk", "tid").collect():
+        for x in {(r.fk, r.fid), (r.tk, r.tid)}:
+            n[x] = n.get(x, 0) + 1
+    got = {}
+    for r in table_queries.graph_neighbors(spark, DATA).collect():
+        got[(r.kind, r.node)] = got.get((r.kind, r.node), 0) + 1
+    assert got == {x: min(k, 20) for x, k in n.items()} and max(n.values()) > 3
