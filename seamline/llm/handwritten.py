@@ -64,6 +64,8 @@ _CODE_SUFFIX = r"(?i)\.(js|mjs|cjs|jsx|ts|tsx|css|py)$"
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`[^`]*`?|[^\s\w]|\w+")
 #: Words of a comment; what holds a dot, slash or underscore between letters is one name.
 _NOTE_TOKEN = re.compile(r"`[^`]*`?|\"[^\"\n]*\"|[^\W_]+(?:[./_\\:@][^\W_]+)+|[^\W\d_]+|\d+|[^\s\w]|_")
+#: A line of words rather than code: no assignment, block or call, semicolons only between words.
+_BARE = re.compile(r"[!\w@<](?:[^{}=;(]|;(?= )|(?<=\s)\()*")
 _COMMENT = re.compile(r"(#(?!!)|//|/\*|\*|<!--|;|--)")
 # Words that the languages themselves reserve.
 _KEYWORDS = frozenset("import from export default class def function return if else for while const let var async await try except catch new this self in is not and or with as raise throw yield lambda None True False null true false".split())
@@ -83,7 +85,7 @@ def notes_and_code(excerpt: str) -> tuple[list[str], str]:
             k += 1
             continue
         if not block and not _COMMENT.match(s):
-            if notes or not re.fullmatch(r"[!\w@<][^;{}=()]*", s) or len(s.split()) < 4 or s.split()[0] in _KEYWORDS:
+            if notes or not _BARE.fullmatch(s) or len(s.split()) < 4 or s.split()[0] in _KEYWORDS:
                 break
             notes.append(s)
             k += 1
