@@ -14,19 +14,22 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return timed.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def merge_changed(stream: DataFrame, store: StateStore, columns: list[str], sink):
-    """Start a query that hands each micro-batch's new or changed rows to ``sink`` and commits their state.
+def merge_changed(stream: DataFrame, store: StateStore, columns: list[str], name: str = "stream"):
+    """Start a query that commits each micro-batch's new or changed rows to ``store.outputs()``.
 
-    The state is swapped after the sink has succeeded, so a batch that is
-    retried after a failure hands over the same rows again and none is skipped.
+    Rows, their state and the batch's epoch become visible in one swap: a batch
+    that is retried after a failure is skipped if it was committed and done
+    again as a whole if not, so every row comes out exactly once. ``name``
+    identifies the stream in the store and must go with its checkpoint.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        todo = store.changed(content_hash(batch, columns))
-        todo = todo.persist()
-        sink(todo, epoch)
-        if not todo.isEmpty():
-            store.commit(todo)
-        todo.unpersist()
+        if epoch <= store.epoch(name):
+            return
+        todo = store.changed(content_hash(batch, columns)).persist()
+        try:
+            store.commit(todo, output=todo, stream=name, epoch=epoch)
+        finally:
+            todo.unpersist()
 
     return stream.writeStream.foreachBatch(step)

@@ -46,18 +46,49 @@ def test_pending(spark):
     assert {r.file_id for r in incremental.pending_files(files, state.limit(0), runs).collect()} == {1, 2, 3, 4, 5}
 
 
-def test_state_store_survives_failures(spark, tmp_path):
+def rows_of(spark, *pairs):
+    return incremental.content_hash(spark.createDataFrame(list(pairs), "key string, v string"), ["v"])
+
+
+def test_state_store_survives_failures(spark, tmp_path, monkeypatch):
     store = incremental.StateStore(spark, str(tmp_path / "state"), "key")
-    v1 = incremental.content_hash(spark.createDataFrame([("a", "1"), ("b", None), ("b", None)], "key string, v string"), ["v"])
+    v1 = rows_of(spark, ("a", "1"), ("b", None), ("b", None), (None, "x"))
     todo = store.changed(v1)
-    assert todo.count() == 2 and store.version() == 0
-    v1.limit(0).write.parquet(str(tmp_path / "state/v1"))  # a run that died before the swap
-    assert store.changed(v1).count() == 2
+    assert {(r.key, r.change) for r in todo.collect()} == {("a", "new"), ("b", "new")} and store.version() == 0
+    for step in ("_claim", "_swap"):  # a run that dies before the claim, and one before any state is written
+        with monkeypatch.context() as m:
+            m.setattr(store, step, lambda *a: (_ for _ in ()).throw(OSError("died")))
+            with pytest.raises(OSError):
+                store.commit(todo, output=todo)
+        assert store.version() == 0 and store.changed(v1).count() == 2 and store.outputs() is None
     assert store.commit(todo) == 1
-    v2 = incremental.content_hash(spark.createDataFrame([("a", "1"), ("b", ""), ("c", "3")], "key string, v string"), ["v"])
-    assert sorted(r.key for r in store.changed(v2).collect()) == ["b", "c"]
+    v2 = rows_of(spark, ("a", "1"), ("b", ""), ("c", "3"))
+    assert {(r.key, r.change) for r in store.changed(v2).collect()} == {("b", "changed"), ("c", "new")}
     store.commit(store.changed(v2))
     assert store.changed(v2).count() == 0 and store.version() == 2
+    assert store.read(1).count() == 2 and store.read().count() == 3
+    assert store.vacuum(1) >= 1 and store.read().count() == 3
+    nothing = spark.createDataFrame([("a", None, {"x": 1})], "key string, content_hash string, extra map<string,int>")
+    assert [r.change for r in store.changed(nothing).collect()] == ["unknown"]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    a, b = (incremental.StateStore(spark, str(tmp_path / "state"), "key", buckets=2) for _ in "ab")
+    plain_claim, raced = b._claim, []
+
+    def late(version, manifest):
+        if not raced:  # the other writer commits between this one's merge and its claim
+            raced.append(version)
+            a.commit(rows_of(spark, ("k1", "1")))
+        return plain_claim(version, manifest)
+
+    monkeypatch.setattr(b, "_claim", late)
+    assert b.commit(rows_of(spark, ("k2", "2"))) == 2 and raced == [1]
+    assert {r.key for r in a.read().collect()} == {"k1", "k2"} == {r.key for r in b.read().collect()}
+    with pytest.raises(incremental.VersionTaken):
+        a._claim(2, {"buckets": {}, "output": None, "epochs": {}})
+    assert {r.key for r in a.read().collect()} == {"k1", "k2"}
+    assert not [n for n in os.listdir(tmp_path / "state") if n.startswith(".draft")]
 
 
 def bfs(adj, start, lim, hops):
@@ -179,14 +210,16 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", "1"), ("b", "2")], "key string, v string").coalesce(1).write.mode("append").parquet(src)
     store, seen = incremental.StateStore(spark, str(tmp_path / "s"), "key"), []
 
-    def run():
+    def run(check="c"):
         stream = spark.readStream.schema("key string, v string").parquet(src)
-        q = logs.merge_changed(stream, store, ["v"], lambda df, epoch: seen.append(sorted(r.key for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q = logs.merge_changed(stream, store, ["v"]).option("checkpointLocation", str(tmp_path / check)).trigger(availableNow=True).start()
         q.awaitTermination()
+        seen.append(sorted((r.key, r.v) for r in store.outputs().collect()))
 
     run()
     spark.createDataFrame([("a", "1"), ("b", "3")], "key string, v string").coalesce(1).write.mode("append").parquet(src)
     run()
-    assert [x for x in seen if x] == [["a", "b"], ["b"]]
+    run("lost")  # the query's own progress is lost: its epochs are committed already
+    assert seen == [[("a", "1"), ("b", "2")]] + [[("a", "1"), ("b", "2"), ("b", "3")]] * 2
     counts = logs.windowed_counts(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     assert counts.agg(F.sum("n")).first()[0] == 1000
