@@ -28,11 +28,13 @@ def local_session(cores: int | str = "*", name: str = "seamline") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a folder of this
-    process is made and set.
+    Only on one machine (a local master), where the session names none, a folder
+    of this process is made and set; elsewhere executors could not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="seamline-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -72,11 +74,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if a count proves it has at most ``max_rows`` rows.
+#: Bytes that a table may have to be broadcast.
+BROADCAST_BYTES = 64 << 20
 
-    A larger table is returned unhinted, so that the join shuffles instead.
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows of ``df``: contents of strings, arrays and the like, eight bytes for any other value."""
+
+    def width(c: str, kind: str):
+        if kind == "string":
+            return F.octet_length(c)
+        if kind == "binary":
+            return F.length(c)
+        return F.octet_length(F.to_json(F.struct(c))) if kind[:5] in ("array", "map<s", "struc") or kind.startswith("map") else F.lit(8)
+
+    total = sum((F.coalesce(width(f"`{c}`", t), F.lit(0)) + 8 for c, t in df.dtypes), F.lit(8))
+    return df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("b")).first()["b"]
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, settled: bool = False) -> DataFrame:
+    """Broadcast ``df`` only if its measured size is at most ``max_bytes``.
+
+    The table is cut first unless it is ``settled`` already, so that measuring
+    does not compute it a second time. A larger table is returned unhinted and
+    the join shuffles instead.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    df = df if settled else cut(df)
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
