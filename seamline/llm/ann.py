@@ -31,8 +31,6 @@ from ..session import broadcast_if_small, cut
 TABLES, PROBES, PROBE_RATIO = 2, 3, 0.8
 #: Vectors a bucket is meant to hold; above CROWD rows it is compared in blocks of BLOCK rows.
 BUCKET, CROWD, BLOCK = 7_000, 40_000, 20_000
-#: Times that ``split_crowded`` hashes again at most.
-LEVELS = 4
 #: Error bound of a cosine of 16-bit vectors, with room.
 SLACK = 2e-4
 SEED = 20240
@@ -138,54 +136,6 @@ def _bucket_rows(hashed: DataFrame) -> DataFrame:
     return hashed.select("id", "packed", "grp", code).select(F.xxhash64("grp", F.shiftright("c", 1)).alias("bucket"), (F.col("c") % 2 == 1).alias("own"), "id", "packed")
 
 
-def split_crowded(rows: DataFrame, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
-    """Hash the vectors of crowded buckets again by their difference from the bucket's mean.
-
-    Loses neighbours, so ``nearest_neighbours`` uses ``block_crowded`` instead.
-    """
-    for level in range(levels):
-        crowded = rows.where("own").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-        crowded = cut(crowded)
-        if crowded.isEmpty():
-            return rows
-        keys = broadcast_if_small(crowded.select("bucket"), 100_000)
-        calm = rows.join(keys, "bucket", "left_anti")
-        hot = cut(rows.join(keys, "bucket", "left_semi"))
-
-        def partial_sums(batches):
-            for b in batches:
-                for bucket, g in b.groupby("bucket", sort=False):
-                    v = unpack(g["packed"].tolist()).astype(np.float64)
-                    yield pd.DataFrame({"bucket": [bucket], "total": [v.sum(axis=0).tolist()]})
-
-        sums = hot.where("own").select("bucket", "packed").mapInPandas(partial_sums, "bucket long, total array<double>")
-        means = (
-            sums.select("bucket", F.posexplode("total").alias("axis", "x")).groupBy("bucket", "axis").agg(F.sum("x").alias("x"))
-            .groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("axis", "x"))).alias("m")).select("bucket", F.col("m.x").alias("mean"))
-        )
-
-        def again(batches, level=level):
-            for b in batches:
-                for bucket, g in b.groupby("bucket", sort=False):
-                    v = unpack(g["packed"].tolist())
-                    m = np.asarray(g["mean"].iloc[0], dtype=np.float64)
-                    m = (m / max(np.linalg.norm(m), 1e-30)).astype(np.float32)
-                    rest = v - (v @ m)[:, None] * m
-                    rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-12)
-                    codes, score = nearest_axes(rotate(rest, 1000 + level), PROBES)
-                    used = score >= PROBE_RATIO * score[:, :1]
-                    r, p = np.nonzero(used)
-                    yield pd.DataFrame({"bucket": bucket, "code": codes[r, p], "own": g["own"].to_numpy()[r] & (p == 0), "id": g["id"].to_numpy()[r], "packed": g["packed"].to_numpy()[r]})
-
-        spread = (
-            hot.join(broadcast_if_small(means, 100_000), "bucket")
-            .mapInPandas(again, "bucket long, code long, own boolean, id long, packed binary")
-            .select(F.xxhash64("bucket", "code").alias("bucket"), "own", "id", "packed")
-        )
-        rows = calm.unionByName(spread)
-    return rows
-
-
 def block_crowded(rows: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Cut crowded buckets into blocks; every two blocks of a bucket become a bucket, so that all its vectors still meet.
 
@@ -195,7 +145,7 @@ def block_crowded(rows: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> Da
     crowded = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("bucket", F.greatest(F.lit(2), F.ceil(F.col("n") / block)).cast("int").alias("blocks")))
     if crowded.isEmpty():
         return rows
-    keys = broadcast_if_small(crowded, 100_000)
+    keys = broadcast_if_small(crowded, settled=True)
     hot = rows.join(keys, "bucket").withColumn("block", F.pmod(F.xxhash64("packed"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block != other")
     met = hot.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "own", "id", "packed")
     return rows.join(keys, "bucket", "left_anti").unionByName(met)
@@ -285,7 +235,7 @@ def candidates(rows: DataFrame, keep: int, least: float) -> DataFrame:
 def _exact(pairs: DataFrame, clean: DataFrame) -> DataFrame:
     """Pairs (src, dst) with the cosine of the stored vectors."""
     wanted = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    v = clean.join(broadcast_if_small(wanted, 500_000), "id", "left_semi").groupBy("id").agg(F.first("vector").alias("v"))
+    v = clean.join(broadcast_if_small(wanted), "id", "left_semi").groupBy("id").agg(F.first("vector").alias("v"))
     x = v.select(F.col("id").alias("src"), F.col("v").alias("a"))
     y = v.select(F.col("id").alias("dst"), F.col("v").alias("b"))
 
@@ -321,7 +271,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, crowd
     top = lambda df: df.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("cosine") >= least)).select("src", "dst", "cosine", "rank")
     if doubtful.isEmpty():
         return top(ranked)
-    small = broadcast_if_small(doubtful, 500_000)
+    small = broadcast_if_small(doubtful, settled=True)
     return top(ranked.join(small, "src", "left_anti")).unionByName(top(_exact(ranked.join(small, "src", "left_semi"), clean)))
 
 

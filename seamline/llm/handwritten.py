@@ -353,13 +353,13 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     current = cut(current_files(files))
     unit = cut(units(current, common_words(current)).withColumn("cls", F.xxhash64("sort", "text")))
     classes = cut(banded(unit.groupBy("cls").agg(F.first("sort").alias("sort"), F.first("text").alias("text"))))
-    label = broadcast_if_small(clusters(classes), 200_000)
+    label = broadcast_if_small(clusters(classes), settled=True)
     members = unit.drop("text").join(label, "cls")
     says = cluster_labels(members, classes)
     code = F.col("path").rlike(_CODE_SUFFIX)
     rank = F.struct((F.col("how") == "family").cast("int"), "of_cluster")
     heard = (
-        members.select("file_id", "cluster").distinct().join(broadcast_if_small(says, 200_000), "cluster")
+        members.select("file_id", "cluster").distinct().join(broadcast_if_small(says), "cluster")
         .groupBy("file_id").agg(F.min(F.when(F.col("of_cluster") != "blob", F.struct(rank.alias("r"), "of_cluster", "how"))).alias("other"), F.max(F.when(F.col("of_cluster") == "blob", F.col("how"))).alias("blob"))
     )
     found = current.select("file_id", "said", code.alias("code")).join(heard, "file_id", "left")

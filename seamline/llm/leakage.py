@@ -92,7 +92,7 @@ def query_terms(items: DataFrame) -> DataFrame:
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, pos): the index, of the terms that any item asks for."""
     index = _phrases(_tokenised(documents.select("doc_id", "text"), "doc_id", "text"), "doc_id", PHRASE).withColumnRenamed("at", "pos")
-    return index.join(broadcast_if_small(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
+    return index.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
 
 
 def rarest_terms(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     lists = rarest_terms(terms, index)
     near = F.floor((F.col("pos") - F.col("at")) / PASSAGE)
     hits = (
-        index.join(broadcast_if_small(lists, BROADCAST_TERMS), "term")
+        index.join(broadcast_if_small(lists), "term")
         .groupBy("doc_id", "instance_id", near.alias("band")).agg(F.collect_set("at").alias("at"))
     )
     # a passage lies in one band or two neighbouring ones
@@ -171,7 +171,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     # aligning costs far more than its bytes suggest: keep the partitions from being coalesced
     width = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        pairs.join(texts, "doc_id").join(broadcast_if_small(own, 20_000), "instance_id")
+        pairs.join(texts, "doc_id").join(broadcast_if_small(own), "instance_id")
         .select("doc_id", "instance_id", "text", "w", "common")
         .repartition(width, "doc_id", "instance_id")
         .mapInPandas(check, "doc_id long, instance_id string")

@@ -1,12 +1,13 @@
 """Texts that were cut off by a field limit or in mid-transfer.
 
-A stack automaton reads each text once: fences, brackets, quotes and markup open
-and close, and what remains open at the end, broken escapes and damaged
-characters mean a cut. A text without such a sign is judged by how its last line
-ends. Where a missing full stop proves nothing (list entries, subject lines,
-signatures) the corpus itself is the baseline: a line of that kind is whole if
-its last word also ends such lines where more text follows. Per source, lengths
-at which far more texts end than at their neighbours are its field limits.
+A stack automaton reads each text once: fences, brackets, quotes, inline code,
+emphasis and markup open and close, and what remains open at the end, broken
+escapes and damaged characters mean a cut. A text without such a sign is judged
+by how its last line ends. Where a missing full stop proves nothing (list
+entries, subject lines, signatures) the lines of its own source are the baseline:
+a line of that kind is whole if its last word also ends a fair share of such
+lines where more text follows. Per source, lengths at which far more texts end
+than at their neighbours are its field limits.
 """
 
 from __future__ import annotations
@@ -20,19 +21,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 #: A length is a field limit of its source if at least LIMIT_TEXTS texts have it,
 #: LIMIT_TIMES as many as the LIMIT_SPAN lengths on either side have on average.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_SPAN, LIMIT_LEAST = 5, 8, 15, 60
 SALTS = 8
-#: Characters at the end of a text within which a mark of omission lies.
-MARK_REACH = 120
-
-_OMITTED = re.compile(
-    r"(?:\s*(?:…|\.{3,}|\[(?:…|\.{3})\]|\((?:…|\.{3})\)|[\[(<{]+\s*(?:message |text |content |output |rest |comment |remainder )?(?:was |is |has been )?(?:truncated|cut( off)?|snip(ped)?|omitted|clipped|abridged|shortened|continued|more|gekürzt|abgeschnitten|tronqué|truncado|cortado)[^\])>}\n]{0,30}[\])>}]+|-{2,}\s*(?:truncated|snip|cut)[^\n]{0,20}-{2,}|(?:read|show|see) more\W*|<truncated>|\\u?[0-9a-fA-F]{0,3}|&#?\w{0,6}|%[0-9A-Fa-f]?))+\s*$",
-    re.I,
-)
+#: A word ends lines of a kind if at least KNOWN of them end with it: those of the source, and as
+#: many as WEIGHT lines of the whole corpus beside them. A kind with fewer than FEW lines in the corpus
+#: proves nothing.
+KNOWN, WEIGHT, FEW = 0.0005, 500, 20
+
+# How editors and mail programs say that they left something out.
+_LEFT_OUT = r"(?:truncated|cut(?: off)?|snip(?:ped)?|omitted|clipped|abridged|shortened|continued|more|gekürzt|abgeschnitten|tronqué|truncado|cortado)"
+_OBJECT = r"(?:message |text |content |output |rest |comment |remainder )?(?:was |is |has been )?"
+_IN_BRACKETS = re.compile(rf"\s*(?:(?:…|\.{{3}})|{_OBJECT}{_LEFT_OUT}[^\])>}}\n]{{0,30}})", re.I)
+_IN_DASHES = re.compile(r"\s*(?:truncated|snip|cut)[^\n]{0,20}", re.I)
+#: Broken escapes; none is longer than eight characters.
+_ESCAPE = re.compile(r"(?:\\u?[0-9a-fA-F]{0,3}|&#?\w{0,6}|%[0-9A-Fa-f]?)$")
+_MORE = re.compile(r"(?:read|show|see) more$", re.I)
 _WORDED_MARK = re.compile(r"truncated|cut|snip|omitted|clipped|abridged|shortened|continued|more|gekürzt|abgeschnitten|tronqué|truncado|cortado", re.I)
 _FENCE = re.compile(r"^\s{0,3}(?:>\s*)*(`{3,}|~{3,})(.*)$")
 _BULLET = re.compile(r"^\s*(?:>\s*)*(?:[-*+•]|\d+[.)])\s+(?:\[[ xX]\]\s+)?\S")
@@ -107,20 +114,55 @@ def _open_json(text: str) -> bool:
     return depth > 0
 
 
+def _mark_start(t: str) -> int:
+    """Where the mark of omission at the end of ``t`` begins, or len(t); looks backwards from the end, however far it lies."""
+    n, last = len(t), t[-1]
+    if last == "…":
+        return n - 1
+    if t.endswith("..."):
+        return len(t.rstrip("."))
+    if last in "])>}":
+        stop = len(t.rstrip("])>}"))
+        p, line = stop, t.rfind("\n", 0, len(t[:stop].rstrip()))
+        while True:
+            p = max(t.rfind(c, 0, p) for c in "[(<{")
+            if p < 0:
+                break
+            if _IN_BRACKETS.fullmatch(t, p + 1, stop):
+                while p > 0 and t[p - 1] in "[(<{":
+                    p -= 1
+                return p
+            if p < line:
+                break
+        # no mark
+    elif last == "-" and t.endswith("--"):
+        stop = len(t.rstrip("-"))
+        p = t.rfind("--", 0, stop)
+        if p >= 0 and _IN_DASHES.fullmatch(t, p + 2, stop):
+            return len(t[:p].rstrip("-"))
+    stop = n
+    while stop and not (t[stop - 1].isalnum() or t[stop - 1] == "_"):
+        stop -= 1
+    m = _MORE.search(t, max(0, stop - 9), stop)
+    if m:
+        return m.start()
+    m = _ESCAPE.search(t, max(0, n - 8))
+    return m.start() if m else n
+
+
 def _strip_tail(text: str) -> tuple[str, str]:
     """(text without line ends, invisible characters and marks of omission; the marks)."""
     marks = ""
     while True:
         t = text.rstrip()
-        while t and (unicodedata.category(t[-1]) in ("Cf", "Cc", "Co", "Cs") or t[-1] == "\ufffd"):
-            if t[-1] == "\ufffd":
+        while t and (unicodedata.category(t[-1]) in ("Cf", "Cc", "Co", "Cs") or t[-1] == "�"):
+            if t[-1] == "�":
                 marks += t[-1]
             t = t[:-1].rstrip()
-        from_ = max(0, len(t) - MARK_REACH)
-        m = _OMITTED.search(t[from_:])
-        if m and m[0].strip():
-            marks += m[0]
-            t = t[: from_ + m.start()].rstrip()
+        if t:
+            at = _mark_start(t)
+            marks += t[at:]
+            t = t[:at].rstrip()
         if t == text:
             return t, marks
         text = t
@@ -277,21 +319,69 @@ def _title_like(line: str) -> bool:
     return 1 <= len(words) <= 12 and not re.search(r"[.;!?](\s|$)|,\s", line)
 
 
+# Markup that must be closed.
+_PAIRED_TAGS = frozenset("a b i u s em strong code pre span div ul ol table blockquote details summary sub sup kbd mark small h1 h2 h3 h4 h5 h6".split())
+_PROSE_TOKEN = re.compile(r"`+|https?://\S+|[:;=]-?[(\[{)\]}](?=\s|$)|\[[ xX]\]|</?([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>\n]*)?/?>|\*\*|~~|[(\[)\]\"“”„«»]")
+
+
+def open_prose(text: str) -> str:
+    """The innermost of bracket, quote, inline code, emphasis or markup that prose opens and does not close, or ''.
+
+    A straight quote opens only before a word and after a blank or bracket, so
+    that inch marks do not count; apostrophes never do. What a closing mark
+    encloses is closed with it.
+    """
+    stack: list[str] = []
+
+    def close(mark: str) -> bool:
+        if mark not in stack:
+            return False
+        while stack.pop() != mark:
+            pass
+        return True
+
+    at = 0
+    while m := _PROSE_TOKEN.search(text, at):
+        at, tok = m.end(), m[0]
+        before, after = text[m.start() - 1 : m.start()] if m.start() else "", text[at : at + 1]
+        if tok[0] == "`":
+            end = text.find(tok, at)
+            if end < 0:
+                return "`" if len(tok) == 1 and after.strip() else stack[-1] if stack else ""
+            at = end + len(tok)
+        elif tok in ("(", "["):
+            stack.append(tok)
+        elif tok in (")", "]"):
+            close(_PAIRS[tok])
+        elif tok == '"':
+            if not close('"') and (not before or before.isspace() or before in "([{-–—/“„«»*_>") and after and not after.isspace():
+                stack.append('"')
+        elif tok in ("**", "~~"):
+            if not close(tok) and after and not after.isspace() and (not before or not before.isalnum()):
+                stack.append(tok)
+        elif tok == "„":
+            stack.append(tok)
+        elif tok == "“":
+            close("„") or stack.append(tok)
+        elif tok == "”":
+            close("“") or close("„")
+        elif tok == "«":
+            close("»") or stack.append(tok)
+        elif tok == "»":
+            close("«") or (after and not after.isspace() and stack.append(tok))
+        elif tok[0] == "<" and (tag := m[1].lower()) in _PAIRED_TAGS and not tok.endswith("/>"):
+            close(f"<{tag}>") if tok[1] == "/" else stack.append(f"<{tag}>")
+    return stack[-1] if stack else ""
+
+
 def _unclosed(lines: list[str]) -> bool:
-    """An opened round or square bracket in the last paragraph that nothing closes."""
+    """Whether the last paragraph of prose leaves something open."""
     text = []
     for x in reversed(lines):
         if not x.strip():
             break
         text.append(x)
-    body = re.sub(r"`[^`]*`|[:;=]-?[(\[{]|\[ \]|https?://\S+", " ", "\n".join(reversed(text)))
-    stack: list[str] = []
-    for c in body:
-        if c in "([":
-            stack.append(c)
-        elif c in ")]" and stack and stack[-1] == _PAIRS[c]:
-            stack.pop()
-    return bool(stack)
+    return bool(open_prose("\n".join(reversed(text))))
 
 
 def _baseline_lines(text: str) -> Iterator[tuple[str, str]]:
@@ -322,29 +412,53 @@ def _baseline_lines(text: str) -> Iterator[tuple[str, str]]:
         above = s
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, verdict, kind, word, chars, octets) of texts that are not blank."""
+def signs(documents: DataFrame) -> DataFrame:
+    """One pass over all texts that are not blank; two sorts of rows.
+
+    (doc_id, source, verdict, kind, word, opener, chars, octets) of each text,
+    and with verdict ``line`` the number n of whole lines of a source and kind
+    that end with a word, counted a batch at a time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             v = [judge(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "verdict": [x[0] for x in v], "kind": [x[1] for x in v], "word": [x[2] for x in v], "chars": b["chars"], "octets": b["octets"]})
+            words = [x[2].rpartition(" ") for x in v]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "verdict": [x[0] for x in v], "kind": [x[1] for x in v], "word": [w[2] for w in words], "opener": [w[0] for w in words], "chars": b["chars"], "octets": b["octets"], "n": 1})
+            n = Counter((s, *x) for s, t in zip(b["source"], b["text"]) for x in _baseline_lines(t))
+            yield pd.DataFrame([(None, s, "line", k, w, "", None, None, c) for (s, k, w), c in n.items()], columns=["doc_id", "source", "verdict", "kind", "word", "opener", "chars", "octets", "n"]).astype({"doc_id": "Int64", "chars": "Int32", "octets": "Int32"})
 
     texts = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", "source", "text", F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
-    return texts.mapInPandas(run, "doc_id long, source string, verdict string, kind string, word string, chars int, octets int")
+    return texts.mapInPandas(run, "doc_id long, source string, verdict string, kind string, word string, opener string, chars int, octets int, n long")
 
 
-def line_ends(documents: DataFrame) -> DataFrame:
-    """(kind, word, n, share): how often a word ends whole lines of a kind, over all documents."""
+def unknown_ends(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """(source, kind, word, opener, unknown) of every distinct question: whether its words end, and open, too few lines.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n = Counter(x for t in b["text"] for x in _baseline_lines(t))
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["kind", "word", "n"])
-
-    counted = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).select("text").mapInPandas(run, "kind string, word string, n long")
-    total = counted.groupBy("kind").agg(F.sum("n").alias("total"))
-    return counted.groupBy("kind", "word").agg(F.sum("n").alias("n")).join(F.broadcast(total), "kind").select("kind", "word", "n", "total")  # one row per kind
+    The share of a word is that among its source's lines of the kind together
+    with WEIGHT lines that end as those of the whole corpus do, so that a source
+    with few lines leans on the others. A signature counts among its own lines
+    and is taken off.
+    """
+    own = cut(lines.groupBy("source", "kind", "word").agg(F.sum("n").alias("n")))
+    everywhere = own.groupBy("kind", "word").agg(F.sum("n").alias("n_all"))
+    of_source = own.groupBy("source", "kind").agg(F.sum("n").alias("total"))
+    of_kind = F.broadcast(own.groupBy("kind").agg(F.sum("n").alias("total_all")))  # one row per kind, of which there are five
+
+    def share(keys: DataFrame) -> DataFrame:
+        """(source, kind, word) -> (..., share, total_all)"""
+        x = keys.join(own, ["source", "kind", "word"], "left").join(everywhere, ["kind", "word"], "left").join(of_source, ["source", "kind"], "left").join(of_kind, "kind", "left")
+        itself = F.when(F.col("kind") == "sign", 1).otherwise(0)
+        n, n_all = (F.greatest(F.coalesce(c, F.lit(0)) - itself, F.lit(0)) for c in ("n", "n_all"))
+        total, total_all = F.coalesce("total", F.lit(0)), F.coalesce("total_all", F.lit(0))
+        return x.select(*keys.columns, ((n + WEIGHT * n_all / F.greatest(total_all, F.lit(1))) / (total + WEIGHT)).alias("share"), total_all.alias("total_all"))
+
+    keys = asked.select("source", "kind", "word", "opener").distinct()
+    ends = share(keys.select("source", "kind", "word").distinct())
+    opens = share(keys.where("opener != ''").select("source", F.lit("opener").alias("kind"), F.col("opener").alias("word")).distinct())
+    opens = opens.select("source", F.col("word").alias("opener"), F.col("share").alias("opening"))
+    rare = (F.col("share") < KNOWN) | ((F.col("opener") != "") & (F.col("opening") < KNOWN))
+    return keys.join(ends, ["source", "kind", "word"]).join(opens, ["source", "opener"], "left").select("source", "kind", "word", "opener", (F.coalesce(rare, F.lit(False)) & (F.col("total_all") >= FEW)).alias("unknown"))
 
 
 def field_limits(lengths: DataFrame) -> DataFrame:
@@ -359,27 +473,24 @@ def field_limits(lengths: DataFrame) -> DataFrame:
 def truncation_signs(documents: DataFrame) -> DataFrame:
     """(doc_id, source, is_cut, kind) of every document with text that is not blank.
 
-    Repeated rows give one; null sources share one baseline. Where the corpus has
-    fewer than 20 whole lines of a kind, a missing full stop proves nothing.
+    Texts are read once; all else works on the narrow rows of that pass, and
+    only texts that ask for the baseline are joined with it. Repeated rows give
+    one; null sources share one baseline. Where the corpus has fewer than FEW
+    whole lines of a kind, a missing full stop proves nothing.
     """
-    docs = documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
-    j = judged(docs)
-    limits = field_limits(j.select("source", "chars", "octets"))
-    at = [limits.where(F.col("unit") == u).select("source", F.col("length").alias(u), F.lit(True).alias(f"at_{u}")) for u in ("chars", "octets")]
-    salted = line_ends(docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("known", F.lit(True))
-    asked = j.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    for x, u in zip(at, ("chars", "octets")):
-        asked = asked.join(broadcast_if_small(x, 100_000), ["source", u], "left")
-    totals = F.broadcast(salted.where("salt = 0").groupBy("kind").agg(F.max("total").alias("kind_total")))  # one row per kind
-    asked = asked.withColumn("opener", F.when(F.col("kind") == "line", F.substring_index("word", " ", 1))).withColumn("word", F.substring_index("word", " ", -1))
-    openers = salted.where("kind = 'opener'").select(F.col("word").alias("opener"), "salt", F.lit(True).alias("opens"))
-    asked = asked.join(salted.drop("total"), ["kind", "word", "salt"], "left").join(totals, "kind", "left").join(openers, ["opener", "salt"], "left")
-    rare = F.when(F.col("kind") == "sign", F.coalesce(F.col("n"), F.lit(0)) < F.greatest(F.lit(2.0), F.col("kind_total") * 0.002)).otherwise(F.col("known").isNull() | (F.col("opener").isNotNull() & F.col("opens").isNull()))
-    unknown = rare & (F.coalesce(F.col("kind_total"), F.lit(0)) >= 20)
-    limited = F.coalesce(F.col("at_chars"), F.col("at_octets"), F.lit(False))
+    seen = cut(signs(documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))))
+    texts = seen.where("verdict != 'line'").drop("n")
+    asked = texts.where("verdict = 'ask'")
+    limits = field_limits(texts.select("source", "chars", "octets"))
+    at = broadcast_if_small(limits.groupBy("source").agg(*(F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"at_{u}") for u in ("chars", "octets"))))
+    unknown = cut(unknown_ends(asked, seen.where("verdict = 'line'").select("source", "kind", "word", "n")))
+    # a question that very many texts ask is spread over SALTS tasks if the answers are too many to broadcast
+    answers = broadcast_if_small(unknown.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    answered = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(answers, ["source", "kind", "word", "opener", "salt"], "left").join(at, "source", "left")
     # a text of exactly the limit may be whole: the limit decides only where a subject line could also be a sentence
-    is_cut = (F.col("verdict") == "cut") | ((F.col("verdict") == "ask") & (unknown | ((F.col("kind") == "line") & limited)))
-    return asked.select("doc_id", "source", is_cut.alias("is_cut"), "kind").distinct()
+    limited = F.coalesce(F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_octets", F.col("octets")), F.lit(False))
+    is_cut = F.coalesce("unknown", F.lit(False)) | ((F.col("kind") == "line") & limited)
+    return texts.where("verdict != 'ask'").select("doc_id", "source", (F.col("verdict") == "cut").alias("is_cut"), "kind").unionByName(answered.select("doc_id", "source", is_cut.alias("is_cut"), "kind")).distinct()
 
 
 def truncated(documents: DataFrame) -> DataFrame:
