@@ -455,7 +455,7 @@ def unknown_ends(asked: DataFrame, lines: DataFrame) -> DataFrame:
 
     keys = asked.select("source", "kind", "word", "opener").distinct()
     ends = share(keys.select("source", "kind", "word").distinct())
-    opens = share(keys.where("opener != ''").select("source", F.lit("opener").alias("kind"), F.col("opener").alias("word")).distinct())
+    opens = share(keys.where("opener != ''").select("source", F.when(F.col("opener") != "", "opener").alias("kind"), F.col("opener").alias("word")).distinct())
     opens = opens.select("source", F.col("word").alias("opener"), F.col("share").alias("opening"))
     rare = (F.col("share") < KNOWN) | ((F.col("opener") != "") & (F.col("opening") < KNOWN))
     return keys.join(ends, ["source", "kind", "word"]).join(opens, ["source", "opener"], "left").select("source", "kind", "word", "opener", (F.coalesce(rare, F.lit(False)) & (F.col("total_all") >= FEW)).alias("unknown"))
