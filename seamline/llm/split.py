@@ -1,10 +1,15 @@
 """Splitting oversized items at natural boundaries by pointer doubling.
 
 Every position of an item has a farthest legal successor: the end of the piece
-that starts there, less the overlap. The successor table of a whole Arrow batch
-is one integer array; squaring it (``f = f[f]``) while marking what the marked
-starts reach derives all greedy cuts of all items in O(log pieces) vector steps
-instead of one step per piece.
+that starts there, less the overlap. Squaring the successor table (``f = f o f``)
+while marking what the marked starts reach derives all greedy cuts in O(log
+pieces) steps instead of one step per piece.
+
+Items of up to BLOCK units share one table per Arrow batch. A longer item is cut
+into blocks that are read apart. A piece enters a block at one of its first
+positions; each block is squared to a table that sends every such entry to the
+entry of the next block, and these tables are squared by joins until the entries
+that the first piece reaches are known in all blocks.
 
 Items are texts (one unit per code point) or line ranges (one unit per line,
 described by one byte per line that says how strongly the code pauses before it).
@@ -16,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import plain
+from ..session import cut
 
 LINES, LINE_OVERLAP = 80, 5
 CHARS, CHAR_OVERLAP = 250, 30
 #: Units of text that one numpy pass holds; more items of a batch go to the next pass.
 PASS_UNITS = 4_000_000
+#: Units of an item beyond which it is cut in blocks of so many.
+BLOCK = 1_000_000
+#: Characters around a block on which the strength of its cuts depends.
+AROUND = 8
 
 
 def text_strength(text: str) -> np.ndarray:
@@ -79,38 +88,46 @@ def line_strength(content: str) -> bytes:
     return bytes(out)
 
 
-def cut_flat(strength: np.ndarray, base: np.ndarray, size: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy cuts of many items at once: (item, start, end) of the pieces, in order.
-
-    strength holds size[i]+1 cut strengths per item, starting at base[i]. The
-    successor of a start is the farthest cut within the limit among the
-    strongest that fill at least half of it; failing that the farthest natural
-    one that still advances; failing that the limit itself.
-    """
-    total = len(strength)
-    item_of = np.repeat(np.arange(len(size)), size + 1)
-    pos = np.arange(total)
-    last = base[item_of] + size[item_of]
-    reach = np.minimum(pos + limit, last)
-    end = np.full(total, -1, dtype=np.int64)
+def successors(strength: np.ndarray, reach: np.ndarray, last: np.ndarray, limit: int, overlap: int) -> np.ndarray:
+    """End of the piece that starts at each position: the farthest cut within reach among the
+    strongest that fill at least half of the limit; failing that the farthest natural one that
+    still advances; failing that the limit itself. A reach that is the item's last ends it."""
+    pos = np.arange(len(reach))
+    at = np.arange(len(strength))
+    end = np.full(len(reach), -1, dtype=np.int64)
     half = pos + max(overlap + 1, limit // 2)
     for floor_, classes in ((half, (5, 4, 3, 2)), (pos + overlap + 1, (5, 4, 3, 2, 1))):
         for k in classes:
-            farthest = np.maximum.accumulate(np.where(strength >= k, pos, -1))[reach]
+            farthest = np.maximum.accumulate(np.where(strength >= k, at, -1))[reach]
             end = np.where((end < 0) & (farthest >= floor_), farthest, end)
     end = np.where(end < 0, reach, end)
-    end = np.where(reach == last, last, end)
-    step = np.where(end == last, pos, end - overlap)  # a piece that ends the item points to itself
-    marked = np.zeros(total, dtype=bool)
-    marked[base] = True
+    return np.where(reach == last, last, end)
+
+
+def reached(step: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Positions that the begins reach: the table is squared and what the marked ones point to is marked."""
+    marked = np.zeros(len(step), dtype=bool)
+    marked[begin] = True
     while True:
         new = step[np.flatnonzero(marked)]
         new = new[~marked[new]]
         if not len(new):
-            break
+            return np.flatnonzero(marked)
         marked[new] = True
         step = step[step]
-    at = np.flatnonzero(marked)
+
+
+def cut_flat(strength: np.ndarray, base: np.ndarray, size: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy cuts of many items at once: (item, start, end) of the pieces, in order.
+
+    strength holds size[i]+1 cut strengths per item, starting at base[i].
+    """
+    item_of = np.repeat(np.arange(len(size)), size + 1)
+    pos = np.arange(len(strength))
+    last = base[item_of] + size[item_of]
+    end = successors(strength, np.minimum(pos + limit, last), last, limit, overlap)
+    step = np.where(end == last, pos, end - overlap)  # a piece that ends the item points to itself
+    at = reached(step, base)
     return item_of[at], at - base[item_of[at]], end[at] - base[item_of[at]]
 
 
@@ -125,48 +142,123 @@ def _passes(sizes: np.ndarray) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
-def _cut_batches(batches: Iterator[pd.DataFrame], strength_of, value: str, limit: int, overlap: int) -> Iterator[tuple]:
-    for b in batches:
-        values = b[value].tolist()
-        sizes = np.array([len(v) for v in values], dtype=np.int64)
-        for part in _passes(sizes):
-            strengths = [strength_of(v) for v in values[part]]
-            size = np.array([len(s) - 1 for s in strengths], dtype=np.int64)
-            base = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if len(size) else size
-            item, start, end = cut_flat(np.concatenate(strengths), base, size, limit, overlap)
-            first = np.concatenate([[True], item[1:] != item[:-1]])
-            runs = np.maximum.accumulate(np.where(first, np.arange(len(item)), 0))
-            yield b.iloc[part], values[part], item, start, end, np.arange(len(item)) - runs
+def _cuts(items: DataFrame, strength_of, limit: int, overlap: int, text: bool = False) -> DataFrame:
+    """(item_id, n, value) -> (item_id, piece, start, end[, text]) of items of up to BLOCK units."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in _passes(b["n"].to_numpy()):
+                ids, values = b["item_id"].to_numpy()[part], b["value"].tolist()[part]
+                strengths = [strength_of(v, n) for v, n in zip(values, b["n"].to_numpy()[part])]
+                size = np.array([len(s) - 1 for s in strengths], dtype=np.int64)
+                base = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
+                item, start, end = cut_flat(np.concatenate(strengths), base, size, limit, overlap)
+                first = np.concatenate([[True], item[1:] != item[:-1]])
+                runs = np.maximum.accumulate(np.where(first, np.arange(len(item)), 0))
+                out = {"item_id": ids[item], "piece": np.arange(len(item)) - runs, "start": start, "end": end}
+                yield pd.DataFrame({**out, "text": [values[i][x:y] for i, x, y in zip(item, start, end)]} if text else out)
+
+    return items.select("item_id", "n", "value").mapInPandas(run, "item_id long, piece long, start long, end long" + (", text string" if text else ""))
+
+
+def _long_cuts(items: DataFrame, strength_of, limit: int, overlap: int, block: int, text: bool = False) -> DataFrame:
+    """``_cuts`` of items of more than ``block`` units; the same pieces."""
+    if block <= 2 * limit:
+        raise ValueError("a block must be longer than two pieces")
+    kind = dict(items.dtypes)["value"]
+    lead = F.least(F.lit(AROUND).cast("long"), F.col("block") * block)
+    blocks = items.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block)))).select(
+        "item_id", "n", "block", lead.alias("lead"),
+        F.col("value").substr((F.col("block") * block - lead + 1).cast("int"), F.lit(block + limit + 2 * AROUND)).alias("value"),
+    )
+    blocks = cut(blocks)  # each block is read twice
+
+    def table(value, n, k, lead):
+        """End and step of every position of a block, counted from its begin."""
+        rest = n - k * block
+        size = min(rest, block + limit)
+        s = strength_of(value, min(rest + lead, block + limit + 2 * AROUND))[lead : lead + size + 1]
+        pos = np.arange(min(rest, block))
+        last = np.full(len(pos), rest if rest <= block + limit else -1, dtype=np.int64)
+        reach = np.minimum(pos + limit, rest)
+        end = successors(s, reach, last, limit, overlap)
+        return end, np.where(end == rest, pos, end - overlap)
+
+    def entries(batches):
+        for b in batches:
+            for r in b.itertuples():
+                end, step = table(r.value, r.n, r.block, r.lead)
+                room = len(step)
+                f = np.concatenate([step, np.arange(room, room + limit + 1)])  # what leaves the block stays where it is
+                while True:
+                    g = f[f]
+                    if (g == f).all():
+                        break
+                    f = g
+                entry = np.arange(min(limit, room))
+                out = f[entry]
+                leaves = out >= room
+                yield pd.DataFrame({"item_id": r.item_id, "at": r.block * block + entry[leaves], "to": r.block * block + out[leaves]})
+
+    jump = cut(blocks.mapInPandas(entries, "item_id long, at long, to long"))
+    known = cut(items.select("item_id", F.lit(0).cast("long").alias("at")))
+    while True:
+        more = known.join(jump, ["item_id", "at"]).select("item_id", F.col("to").alias("at"))
+        grown = cut(known.unionByName(more).distinct())
+        if grown.count() == known.count():
+            break
+        known = grown
+        jump = cut(jump.join(jump.select("item_id", F.col("at").alias("to"), F.col("to").alias("onward")), ["item_id", "to"]).select("item_id", "at", F.col("onward").alias("to")))
+
+    def pieces(batches):
+        for b in batches:
+            for r in b.itertuples():
+                end, step = table(r.value, r.n, r.block, r.lead)
+                room = len(step)
+                begin = int(r.at - r.block * block)
+                at = reached(np.where(step < room, step, np.arange(room)), np.array([begin]))
+                out = {"item_id": r.item_id, "block": r.block, "start": r.block * block + at, "end": r.block * block + end[at]}
+                yield pd.DataFrame({**out, "text": [r.value[r.lead + x : r.lead + y] for x, y in zip(at, end[at])]} if text else out)
+
+    begun = known.withColumn("block", F.floor(F.col("at") / block))
+    found = cut(blocks.join(begun, ["item_id", "block"]).select("item_id", "n", "block", "lead", "value", "at").mapInPandas(pieces, "item_id long, block long, start long, end long" + (", text string" if text else "")))
+    # pieces are numbered by the pieces of earlier blocks and their own place in the block
+    before = found.groupBy("item_id", "block").agg(F.count(F.lit(1)).alias("m"))
+    before = before.withColumn("before", F.sum("m").over(Window.partitionBy("item_id").orderBy("block")) - F.col("m")).drop("m")
+    place = F.row_number().over(Window.partitionBy("item_id", "block").orderBy("start")) - 1
+    return found.withColumn("place", place).join(before, ["item_id", "block"]).select("item_id", (F.col("before") + F.col("place")).alias("piece"), "start", "end", *(["text"] if text else []))
+
+
+def _all_cuts(items: DataFrame, strength_of, limit: int, overlap: int, block: int, text: bool = False) -> DataFrame:
+    """Pieces of (item_id, n, value), each item in one row: short items by batch, long ones by block."""
+    if not 0 <= overlap < limit // 2:
+        raise ValueError("overlap must be less than half of the limit")
+    out = _cuts(items.where(F.col("n") <= block), strength_of, limit, overlap, text)
+    long = cut(items.where(F.col("n") > block))
+    return out if long.isEmpty() else out.unionByName(_long_cuts(long, strength_of, limit, overlap, block, text))
 
 
-def split_texts(texts: DataFrame, limit: int = CHARS, overlap: int = CHAR_OVERLAP) -> DataFrame:
+def split_texts(texts: DataFrame, limit: int = CHARS, overlap: int = CHAR_OVERLAP, block: int = BLOCK) -> DataFrame:
     """(item_id, text) -> (item_id, piece, start, end, text) of texts above the limit.
 
     start and end count code points from 0, end excluded; consecutive pieces
     share exactly ``overlap`` of them and together cover the text. Null, empty
-    and short texts give no rows; repeated rows give one set of pieces.
+    and short texts give no rows; repeated rows give one set of pieces; of
+    several texts of one id the greatest is cut.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half of the limit")
-
-    def run(batches):
-        for b, values, item, start, end, piece in _cut_batches(batches, text_strength, "text", limit, overlap):
-            ids = b["item_id"].to_numpy()
-            yield pd.DataFrame({"item_id": ids[item], "piece": piece, "start": start, "end": end, "text": [values[i][s:e] for i, s, e in zip(item, start, end)]})
+    long = texts.where(F.col("item_id").isNotNull() & (F.length("text") > limit))
+    once = long.groupBy("item_id").agg(F.max("text").alias("value")).select("item_id", F.length("value").cast("long").alias("n"), "value")
+    return _all_cuts(once, lambda v, n: text_strength(v), limit, overlap, block, text=True)
 
-    return texts.where(F.length("text") > limit).select("item_id", "text").mapInPandas(run, "item_id long, piece long, start long, end long, text string").dropDuplicates(["item_id", "piece"])
 
-
-def split_lines(ranges: DataFrame, sources: DataFrame, limit: int = LINES, overlap: int = LINE_OVERLAP) -> DataFrame:
+def split_lines(ranges: DataFrame, sources: DataFrame, limit: int = LINES, overlap: int = LINE_OVERLAP, block: int = BLOCK) -> DataFrame:
     """(item_id, file_id, low, high) -> (item_id, piece, start, end): line ranges above the limit.
 
     Lines are numbered as in the file, both ends counted. Sources (file_id,
     content) say where the code pauses; ranges without text, or that reach past
-    its end, are cut at the limit. Null bounds give no rows; repeated ranges one
-    set of pieces.
+    its end, pause nowhere, so that their cuts are those of the limit. Null
+    bounds give no rows; repeated ranges one set of pieces.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half of the limit")
     long = ranges.where(F.col("high") - F.col("low") + 1 > limit).select("item_id", "file_id", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).dropDuplicates(["item_id"])
 
     def lines(batches):
@@ -174,29 +266,16 @@ def split_lines(ranges: DataFrame, sources: DataFrame, limit: int = LINES, overl
             yield pd.DataFrame({"file_id": b["file_id"], "pauses": [line_strength(c) for c in b["content"]]})
 
     held = sources.where(F.col("content").isNotNull()).select("file_id", "content").join(long.select("file_id").distinct(), "file_id", "left_semi").mapInPandas(lines, "file_id long, pauses binary").dropDuplicates(["file_id"])
-    span = (F.col("high") - F.col("low") + 1).alias("n")
-    with_text = long.join(held, "file_id", "left").select(
-        "item_id", "low", span,
-        F.when((F.col("low") >= 1) & (F.col("high") <= F.length("pauses")), F.expr("substring(pauses, cast(low as int), cast(high - low + 1 as int))")).alias("pauses"),
-    )
-    known = with_text.where(F.col("pauses").isNotNull())
+    span = F.col("high") - F.col("low") + 1
+    part = F.when((F.col("low") >= 1) & (F.col("high") <= F.length("pauses")), F.expr("substring(pauses, cast(low as int), cast(high - low + 1 as int))"))
+    items = cut(long.join(held, "file_id", "left").select("item_id", "low", span.alias("n"), part.alias("value")))
 
-    def strength(p: bytes) -> np.ndarray:
-        s = np.frombuffer(p, dtype=np.uint8)
+    def strength(p: bytes | None, n: int) -> np.ndarray:
+        s = np.zeros(n, dtype=np.uint8) if p is None else np.frombuffer(p, dtype=np.uint8)
         return np.concatenate([s + 1, np.array([5], dtype=np.uint8)])  # position i cuts before line i
 
-    def run(batches):
-        for b, _, item, start, end, piece in _cut_batches(batches, strength, "pauses", limit, overlap):
-            low = b["low"].to_numpy()[item]
-            yield pd.DataFrame({"item_id": b["item_id"].to_numpy()[item], "piece": piece, "start": low + start, "end": low + end - 1})
-
-    stride = limit - overlap
-    blind = (
-        with_text.where(F.col("pauses").isNull())
-        .select("item_id", "low", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - overlap - 1) / stride))).alias("piece", "k"))
-        .select("item_id", F.col("piece").cast("long").alias("piece"), (F.col("low") + F.col("k") * stride).alias("start"), (F.col("low") + F.least(F.col("k") * stride + limit, F.col("n")) - 1).alias("end"))
-    )
-    return known.mapInPandas(run, "item_id long, piece long, start long, end long").unionByName(blind)
+    pieces = _all_cuts(items.select("item_id", "n", "value"), strength, limit, overlap, block)
+    return pieces.join(items.select("item_id", "low"), "item_id").select("item_id", "piece", (F.col("low") + F.col("start")).alias("start"), (F.col("low") + F.col("end") - 1).alias("end"))
 
 
 def oversized_pieces(symbols: DataFrame, sources: DataFrame, embeddings: DataFrame) -> DataFrame:
