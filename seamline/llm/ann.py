@@ -68,9 +68,9 @@ def nearest_axes(rotated: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarr
     return order * 2 + (np.take_along_axis(rotated, order, 1) > 0), np.take_along_axis(size, order, 1)
 
 
-def extra_axes(vectors: int) -> int:
-    """Axes of a second, coarser code, so that ``vectors`` spread to about BUCKET each."""
-    need = vectors / BUCKET / 128
+def extra_axes(vectors: int, bucket: int = BUCKET) -> int:
+    """Axes of a second, coarser code, so that ``vectors`` spread to about ``bucket`` each."""
+    need = vectors / bucket / 128
     return 0 if need <= 1 else min(64, 1 << max(0, math.ceil(math.log2(need / 2))))
 
 
@@ -251,7 +251,7 @@ def _exact(pairs: DataFrame, clean: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").join(x, "src").join(y, "dst").select("src", "dst", cosine("a", "b").alias("cosine"))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, crowd: int = CROWD, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """(src, dst, cosine, rank): for every vector its k most similar of the same kind and length.
 
     Only cosines of at least ``least`` count. Null, zero and non-finite vectors
@@ -259,7 +259,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.9, crowd
     id; magnitude does not matter; an empty table gives no rows.
     """
     clean = clean_vectors(vectors)
-    extra = {r["grp"]: extra_axes(r["n"]) for r in clean.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 128 * BUCKET).collect()}  # one row per kind and length
+    extra = {r["grp"]: extra_axes(r["n"], bucket) for r in clean.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 128 * bucket).collect()}  # one row per kind and length
     hashed = cut(hash_vectors(clean, extra))
     rows = block_crowded(_bucket_rows(hashed), crowd, block)
     found = cut(candidates(rows, k + 3, least - SLACK).groupBy("src", "dst").agg(F.max("cosine").alias("cosine")))

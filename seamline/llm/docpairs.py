@@ -21,7 +21,8 @@ from ..functions.keys import plain
 LINE_BLOCK = 2048
 MIN_WORDS, MIN_NEW = 4, 2
 
-_JS_TOKEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+# a slash begins a regular expression where no value can end
+_JS_TOKEN = re.compile(r"(?:(?<=[(,=:\[!&|?{};+*%<>~^-])|(?<=return)|(?<=typeof)|^)[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S | re.M)
 _PY_TOKEN = re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*", re.S)
 
 
@@ -79,14 +80,19 @@ def plain_language(language: str | None) -> str:
 
 
 def extract_comments(sources: DataFrame) -> DataFrame:
-    """(file_id, content, language) -> (file_id, first_line, last_line, next_code, text)."""
+    """(file_id, content) -> (file_id, python, first_line, last_line, next_code, text).
+
+    The table of texts does not say which language they are in, so each is read
+    once as Python and once as a script where it is: only spans travel, no text
+    is moved to learn its language.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, *s) for f, c, g in zip(b["file_id"], b["content"], b["language"]) if c for s in comment_spans(c, g)]
-            yield pd.DataFrame(rows, columns=["file_id", "first_line", "last_line", "next_code", "text"])
+            rows = [(f, g == "python", *s) for f, c in zip(b["file_id"], b["content"]) for g in ("python", "script") for s in comment_spans(c, g)]
+            yield pd.DataFrame(rows, columns=["file_id", "python", "first_line", "last_line", "next_code", "text"])
 
-    return sources.select("file_id", "content", "language").mapInPandas(run, "file_id long, first_line long, last_line long, next_code long, text string")
+    return sources.where(F.col("content") != "").select("file_id", "content").mapInPandas(run, "file_id long, python boolean, first_line long, last_line long, next_code long, text string")
 
 
 def nearest_comment(functions: DataFrame, comments: DataFrame, max_blank: int = 0) -> DataFrame:
@@ -268,9 +274,9 @@ def documented_functions(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     )
     direct = fns.where(F.col("docstring").isNotNull()).select("symbol_id", "name", "signature", "docstring")
     bare = fns.where(F.col("docstring").isNull() & F.col("first_line").isNotNull()).distinct()
-    language = bare.groupBy("file_id").agg(F.max(F.lower("language")).alias("language"))
-    text = sources.select("file_id", "content").where(F.col("content").isNotNull()).join(language, "file_id")
-    above = nearest_comment(bare.select("file_id", "first_line", "symbol_id", "name", "signature"), extract_comments(text))
+    python = bare.groupBy("file_id").agg((F.max(plain("language")) == "python").alias("python"))
+    spans = extract_comments(sources).join(python.select("file_id", F.coalesce("python", F.lit(False)).alias("python")), ["file_id", "python"]).drop("python").distinct()
+    above = nearest_comment(bare.select("file_id", "first_line", "symbol_id", "name", "signature"), spans)
     both = direct.unionByName(above.select("symbol_id", "name", "signature", F.col("comment").alias("docstring")))
 
     @F.pandas_udf("string")

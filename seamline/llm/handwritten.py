@@ -37,7 +37,7 @@ SHINGLE, SIMILAR = 5, 0.8
 HASHES, BANDS = 64, 16
 #: Parts of a band whose pairs are made apart.
 SALTS = 8
-#: A word of a comment is a name, and masked, unless at least this share of the commented files use it.
+#: A word of a comment is a name, and masked, unless this share of the commented files and three of them use it.
 #: Hence at most 1 / RARE times the mean number of words of a comment are kept.
 RARE = 0.005
 #: A cluster is marked if at least LEAST of its members are and chance would give so many with a
@@ -180,7 +180,7 @@ def current_files(files: DataFrame) -> DataFrame:
 
 
 def common_words(current: DataFrame) -> frozenset[str]:
-    """Words that at least RARE of the files with a leading comment use in it.
+    """Words that RARE or more of the files with a leading comment, and three of them, use in it.
 
     Their number is bounded by 1 / RARE times the mean words of a comment,
     whatever the number of files; counts are summed before they are shuffled.
@@ -197,7 +197,7 @@ def common_words(current: DataFrame) -> frozenset[str]:
 
     counted = cut(current.where(F.col("excerpt").rlike(r"\S")).select("excerpt").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counted.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return frozenset(r["word"] for r in counted.where((F.col("word") != "") & (F.col("n") >= RARE * total)).select("word").collect())
+    return frozenset(r["word"] for r in counted.where((F.col("word") != "") & (F.col("n") >= max(3, RARE * total))).select("word").collect())
 
 
 def units(current: DataFrame, common: frozenset[str]) -> DataFrame:

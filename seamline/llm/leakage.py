@@ -100,10 +100,10 @@ def _segment(docs: list[int], tokens: list[np.ndarray]) -> dict:
     return {"docs": docs, "starts": starts.astype(np.int32), "sizes": sizes.astype(np.int32), "terms": terms.tobytes(), "counts": counts.astype(np.int32).tobytes(), "positions": positions.tobytes()}
 
 
-def build_index(documents: DataFrame) -> DataFrame:
+def build_index(documents: DataFrame, segment: int = SEGMENT, overlap: int = OVERLAP) -> DataFrame:
     """INDEX rows of (doc_id, text): every word of every document; null and wordless texts are left out.
 
-    Rows hold about SEGMENT postings each. The result may be written as a table
+    Rows hold about ``segment`` postings each. The result may be written as a table
     and searched later, with other items.
     """
 
@@ -112,11 +112,11 @@ def build_index(documents: DataFrame) -> DataFrame:
         for b in batches:
             for d, t in zip(b["doc_id"], b["text"]):
                 x = terms.of(words(t))
-                for lo in range(0, max(1, len(x) - OVERLAP), SEGMENT - OVERLAP):
-                    part = x[lo : lo + SEGMENT]
+                for lo in range(0, max(1, len(x) - overlap), segment - overlap):
+                    part = x[lo : lo + segment]
                     if not len(part):
                         continue
-                    if n and n + len(part) > SEGMENT:
+                    if n and n + len(part) > segment:
                         yield pd.DataFrame([_segment(docs, held)])
                         docs, held, n = [], [], 0
                     docs.append(d)
