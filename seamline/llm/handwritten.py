@@ -40,9 +40,9 @@ SALTS = 8
 #: A word of a comment is a name, and masked, unless this share of the commented files and three of them use it.
 #: Hence at most 1 / RARE times the mean number of words of a comment are kept.
 RARE = 0.005
-#: A cluster is marked if at least LEAST of its members are and chance would give so many with a
+#: A cluster is marked if at least LEAST of its members are, of comment lines or of code, and chance would give so many with a
 #: probability below CHANCE (Chernoff's bound). If PURE of those members bear one label, it is that.
-LEAST, CHANCE, PURE = 0.2, 1e-2, 0.6
+LEAST, CHANCE, PURE = {"note": 0.2, "code": 0.5}, 1e-2, 0.6
 #: Characters of a string literal that count as one token.
 LITERAL = 16
 #: Share of literals in a unit of data, of short names in minified code, and the least tokens of either.
@@ -63,7 +63,7 @@ _CODE_SUFFIX = r"(?i)\.(js|mjs|cjs|jsx|ts|tsx|css|py)$"
 
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`[^`]*`?|[^\s\w]|\w+")
 #: Words of a comment; what holds a dot, slash or underscore between letters is one name.
-_NOTE_TOKEN = re.compile(r"`[^`]*`?|\"[^\"\n]*\"|[^\W_]+(?:[./_\\:@][^\W_]+)+|[^\W\d_]+|\d+|[^\s\w]|_")
+_NOTE_TOKEN = re.compile(r"`[^`]*`?|\"[^\"\n]*\"|[^\W_]+(?:[./_\\:@][^\W_]+)+|[^\W_]*\d[^\W_]*|[^\W\d_]+|[^\s\w]|_")
 #: A line of words rather than code: no assignment, block or call, semicolons only between words.
 _BARE = re.compile(r"[!\w@<](?:[^{}=;(]|;(?= )|(?<=\s)\()*")
 _COMMENT = re.compile(r"(#(?!!)|//|/\*|\*|<!--|;|--)")
@@ -331,7 +331,7 @@ def cluster_labels(members: DataFrame, classes: DataFrame) -> DataFrame:
     spread = spread.groupBy("cluster").agg((F.sum(F.when(F.col("repos") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("shared"))
     q, p = F.col("k") / F.col("n"), F.col("p")
     surprise = F.col("n") * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
-    marked = (F.col("k") > 0) & (q >= LEAST) & (q > p) & (surprise >= -np.log(CHANCE))
+    marked = (F.col("k") > 0) & (q >= F.when(F.col("sort") == "note", LEAST["note"]).otherwise(LEAST["code"])) & (q > p) & (surprise >= -np.log(CHANCE))
     family = F.when(F.col("most") >= PURE * F.col("k"), F.col("said")).when(F.col("shared") > 0.5, "vendored").otherwise("generated")
     return (
         told.join(F.broadcast(base), "sort").join(made, "cluster").join(spread, "cluster")
