@@ -18,11 +18,13 @@ SYMBOL = "struct<name: string, symbol_type: string, line_start: int, line_end: i
 SCHEMA = f"file_id long, language string, imports array<string>, summary string, symbols array<{SYMBOL}>, error string"
 # Forms of top-level symbols in TypeScript and JavaScript, in this order, and of imports.
 TS_FORMS = (
-    ("function", re.compile(r"(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)")),
-    ("class", re.compile(r"(?:export\s+)?class\s+([A-Za-z_$][\w$]*)")),
-    ("exported_constant", re.compile(r"export\s+const\s+([A-Za-z_$][\w$]*)")),
+    ("function", "function", re.compile(r"^\s*(?:export\s+)?function\s+([A-Za-z0-9_]+)\s*\((.*?)\)", re.M)),
+    ("class", "class", re.compile(r"^\s*(?:export\s+)?class\s+([A-Za-z0-9_]+)", re.M)),
+    ("exported_constant", "const", re.compile(r"^\s*export\s+const\s+([A-Za-z0-9_]+)", re.M)),
 )
-TS_IMPORT = re.compile(r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]")
+TS_IMPORT = re.compile(r"^\s*import\s+.*?from\s+['\"]([^'\"]+)['\"]", re.M)
+# Language of a suffix.
+LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml"}
 
 
 def _mentioned(node: ast.AST, most: int = 5) -> list[str]:
@@ -30,7 +32,7 @@ def _mentioned(node: ast.AST, most: int = 5) -> list[str]:
     out: dict[str, None] = {}
     for n in ast.walk(node):
         word = n.attr if isinstance(n, ast.Attribute) else n.id if isinstance(n, ast.Name) else n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else ""
-        word = word.lower().replace(" ", "_")
+        word = word.strip().lower().replace(" ", "_")
         if len(word) >= 3 and re.fullmatch(r"[a-z0-9_]+", word):
             out.setdefault(word)
         if len(out) == most:
@@ -44,7 +46,7 @@ def parse_python(text: str) -> dict:
     symbols, imports = [], set()
 
     def callable_(node, parent=None):
-        args = ", ".join(a.arg for a in node.args.posonlyargs + node.args.args)
+        args = ", ".join(a.arg for a in node.args.args)
         words = _mentioned(node)
         return {
             "name": node.name, "symbol_type": "method" if parent else "function", "line_start": node.lineno, "line_end": node.end_lineno,
@@ -66,45 +68,51 @@ def parse_python(text: str) -> dict:
     return {"imports": sorted(imports), "symbols": symbols}
 
 
-def parse_script(text: str) -> dict:
+def parse_script(text: str, language: str) -> dict:
     """Functions, classes and exported constants of TypeScript or JavaScript, form by form; a symbol spans at most four lines."""
-    lines = text.count("\n") + 1
+    lines = len(text.splitlines())
     symbols = []
-    for kind, form in TS_FORMS:
+    for kind, word, form in TS_FORMS:
         for m in form.finditer(text):
             first = text.count("\n", 0, m.start()) + 1
-            symbols.append({"name": m[1], "symbol_type": kind, "line_start": first, "line_end": min(lines, first + 3), "signature": m[0].strip(), "docstring": None, "qualified_name": m[1], "parent_name": None, "summary": f"{kind.replace('_', ' ')} {m[1]}"})
+            signature = f"{word} {m[1]}({m[2]})" if kind == "function" else f"{word} {m[1]}"
+            symbols.append({"name": m[1], "symbol_type": kind, "line_start": first, "line_end": min(lines, first + 3), "signature": signature, "docstring": None, "qualified_name": m[1], "parent_name": None, "summary": f"{language.title()} {kind} {m[1]}"})
     return {"imports": sorted(set(TS_IMPORT.findall(text))), "symbols": symbols}
 
 
-def _module_summary(path: str, symbols: list[dict], imports: list[str], language: str) -> str:
-    words: dict[str, None] = {}
-    for s in symbols:
-        for w in re.split(r"[_\W]+", s["summary"]):
-            if len(w) >= 4:
-                words.setdefault(w.lower())
-    names = ", ".join(s["name"] for s in symbols[:3])
-    return f"{language.title()} module {path.rsplit('/', 1)[-1]} with {len(symbols)} symbols and {len(imports)} imports" + (f": {names}" if names else "") + (f"; {', '.join(list(words)[:6])}" if words else "")
+def module_summary(name: str, parsed: dict, language: str) -> str:
+    """One sentence on a module; for Python with its first symbols and the first words of their summaries."""
+    symbols = parsed["symbols"]
+    if language != "python":
+        return f"{language.title()} module {name} with {len(symbols)} exported symbols."
+    words = dict.fromkeys(w for s in symbols for w in re.split(r"[_\W]+", s["summary"].lower()) if len(w) >= 4)
+    out = f"Python module {name} with {len(symbols)} top-level symbols and {len(parsed['imports'])} imports."
+    if symbols:
+        out += f" Key symbols: {', '.join(s['name'] for s in symbols[:3])}."
+    return out + (f" Keywords: {', '.join(list(words)[:6])}." if words else "")
+
+
+def parse_one(path: str, text: str) -> tuple:
+    """(language, imports, summary, symbols, error) of one file."""
+    name = path.rsplit("/", 1)[-1]
+    suffix = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
+    language = LANGUAGES.get(suffix, "unknown")
+    if language in ("python", "typescript", "javascript"):
+        try:
+            parsed = parse_python(text) if language == "python" else parse_script(text, language)
+        except (SyntaxError, ValueError, RecursionError) as e:
+            return language, [], module_summary(name, {"symbols": [], "imports": []}, language), [], f"{type(e).__name__}: {e}"
+        return language, parsed["imports"], module_summary(name, parsed, language), parsed["symbols"], None
+    first = next((x.strip("# ").strip() for x in text.splitlines() if x.strip()), name)
+    return language, [], f"{language.title()} document {name}: {first[:120]}", [], None
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """(file_id, path, text) -> SCHEMA. Null texts count as empty; documents keep a summary only."""
 
-    def one(path: str, text: str) -> tuple:
-        suffix = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-        language = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "md": "markdown", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json"}.get(suffix, "unknown")
-        if language in ("python", "typescript", "javascript"):
-            try:
-                p = parse_python(text) if language == "python" else parse_script(text)
-            except (SyntaxError, ValueError, RecursionError) as e:
-                return language, [], f"{language.title()} module {path.rsplit('/', 1)[-1]}", [], f"{type(e).__name__}: {e}"
-            return language, p["imports"], _module_summary(path, p["symbols"], p["imports"], language), p["symbols"], None
-        first = next((x.strip("# \t") for x in text.splitlines() if x.strip()), "") or path.rsplit("/", 1)[-1]
-        return language, [], f"{language.title()} document {path.rsplit('/', 1)[-1]}: {first[:120]}", [], None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, *one(p or "", t or "")) for f, p, t in zip(b["file_id"], b["path"], b["text"])]
+            rows = [(f, *parse_one(p or "", t or "")) for f, p, t in zip(b["file_id"], b["path"], b["text"])]
             yield pd.DataFrame(rows, columns=["file_id", "language", "imports", "summary", "symbols", "error"])
 
     return files.select("file_id", "path", "text").mapInPandas(run, SCHEMA)
@@ -113,7 +121,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 def path_tags(path: Column | str) -> Column:
     """Tags that a repository-relative path gives: test, config, docs, architecture."""
     p = F.lower(path)
-    name = F.substring_index(p, "/", -1)
+    name = F.substring_index(path, "/", -1)
     script = p.rlike(r"\.(ts|tsx|js|jsx)$")
     test = F.when(script, p.rlike(r"\.(test|spec)\.")).otherwise(p.endswith(".py") & F.contains(p, F.lit("test")))
     config = p.endswith(".py") & (F.contains(p, F.lit("config")) | name.startswith("settings"))

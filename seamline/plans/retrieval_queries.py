@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from . import settings as S
-from .retrieve import DIMS, Retrieval
+from ..operators import evaluate
+from ..session import table
+from .retrieve import DIMS, TABLES, Retrieval
 
 # The stated query set: (query_id, repo_id, mode, text, limit).
 QUERY_SET = [
@@ -28,30 +28,37 @@ _cache: dict = {}
 
 
 def retrieval(spark, d) -> Retrieval:
-    key = (id(spark), d)
+    """The stages of the query set over the tables of ``d``; kept for the queries that follow in the same
+    application as long as the tables' files are the same ones."""
+    files = tuple(sorted(f for n in TABLES for f in table(spark, d, n).inputFiles()))
+    key = (spark.sparkContext.applicationId, d, files)
     if key not in _cache:
         _cache.clear()
         _cache[key] = Retrieval.over(spark, d, QUERY_SET)
     return _cache[key]
 
 
-def _lit(v) -> str:
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+def forget() -> None:
+    """Drop what ``retrieval`` keeps."""
+    _cache.clear()
 
 
-def _query_values() -> str:
-    from ..functions import classify as C
-
-    rows = []
-    for q, repo, mode, text, lim in QUERY_SET:
-        doc, config, test, history = (C.mentions(text, w) for w in (C.DOC_WORDS, C.CONFIG_WORDS, C.TEST_WORDS, C.HISTORY_WORDS))
-        row = (q, repo, mode, text, lim, *S.MODE_WEIGHTS[mode], doc, config, test, history, C.mentions(text, ("config",)), *S.select_mix(mode, doc, config, test, S.quotas(mode, lim)[0]), *S.pack_mix(mode, doc, config, test), *S.quotas(mode, lim), *S.pack_limits(mode))
-        rows.append("(" + ", ".join(map(_lit, row)) + ")")
-    return ", ".join(rows)
+# What follows from each query by the fixed weights, mixes and limits, spelled here once more:
+# query, repository, mode, text, limit; weights of lexical, graph, semantic and memory signals; whether the text is about
+# documents, configuration, tests, history, "config"; code, test, doc and config files to select and to pack; selected
+# files, symbols and memories; packed symbols and memories.
+_QUERY_VALUES = """(1, 17, 'understand', 'How does the snapshot resolver hydrate deferred queues, and what do the docs say about it', 12, 1.0, 0.7, 0.8, 0.7, true, false, false, false, false, 3, 1, 2, 1, 2, 1, 3, 1, 12, 6, 2, 5, 2),
+ (2, 17, 'bugfix', 'Fix the test coverage of the checksum scanner when retry settings expire', 10, 1.0, 0.8, 0.8, 0.8, false, true, true, false, false, 4, 2, 1, 2, 4, 2, 1, 1, 10, 6, 2, 6, 2),
+ (3, 6, 'refactor', 'Refactor the ledger router and its provider config', 12, 0.8, 1.0, 0.7, 0.9, false, true, false, false, true, 4, 2, 1, 2, 4, 2, 1, 1, 12, 6, 3, 6, 3),
+ (4, 3, 'docs', 'Which decision or runbook explains the architecture of the packer cluster', 12, 0.8, 0.4, 0.8, 0.9, true, false, false, true, false, 2, 1, 3, 2, 2, 1, 3, 2, 12, 6, 3, 4, 3),
+ (5, 9, 'testgen', 'Generate tests for the ticket planner module', 8, 0.7, 1.0, 0.6, 0.3, false, false, true, false, false, 4, 2, 1, 1, 4, 2, 1, 1, 8, 6, 2, 6, 2),
+ (6, 1, 'architecture', 'prior incident and decision history around leases and quota gateways', 12, 0.7, 0.9, 0.8, 1.0, true, false, false, true, false, 2, 0, 3, 1, 2, 0, 3, 1, 12, 6, 3, 4, 3)"""
 
 
 _WORDS = r"regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+')"
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+# Spelled here once more, so that the SQL does not share the constant it is to prove.
+_STOP = """'about', 'after', 'also', 'and', 'are', 'because', 'been', 'before', 'but', 'can', 'could', 'does', 'for', 'from', 'had', 'has', 'have', 'how', 'into',
+ 'not', 'our', 'out', 'same', 'should', 'than', 'that', 'the', 'then', 'there', 'these', 'this', 'when', 'where', 'which', 'while', 'with', 'would', 'you'"""
 _FILES = """
 files_now AS (SELECT id, repo_id, path, language, checksum, summary, imports, tags, indexed_at, map_extract_value(metadata_json, 'content_excerpt') AS excerpt,
     coalesce(list_contains(tags, 'test'), false) OR coalesce(path LIKE 'tests/%', false) OR coalesce(contains(path, '/test'), false) AS is_test,
@@ -69,7 +76,7 @@ BASE = "WITH " + _FILES.strip()
 _CHAIN = (
     BASE
     + f""",
-q0 AS (SELECT * FROM (VALUES {_query_values()}) t(query_id, repo_id, mode, text, lim, wl, wg, ws, wm, doc, config, test, history, about_config, s_code, s_test, s_doc, s_config, p_code, p_test, p_doc, p_config, q_files, q_symbols, q_memories, p_symbols, p_memories)),
+q0 AS (SELECT * FROM (VALUES {_QUERY_VALUES}) t(query_id, repo_id, mode, text, lim, wl, wg, ws, wm, doc, config, test, history, about_config, s_code, s_test, s_doc, s_config, p_code, p_test, p_doc, p_config, q_files, q_symbols, q_memories, p_symbols, p_memories)),
 q1 AS (SELECT *, list_filter({_WORDS.format('text')}, lambda t: length(t) >= 3) AS rterms FROM q0),
 q2 AS (SELECT *, list_filter(rterms, lambda t: t NOT IN ({_STOP}))[1:80] AS b0 FROM q1),
 q3 AS (SELECT *, CASE WHEN len(b0) > 0 THEN b0 ELSE [lower(text)] END AS base FROM q2),
@@ -111,9 +118,9 @@ sig_sup AS (
   SELECT query_id, 'file' AS kind, id, 'support' AS stage, 4 * 10000000000000 + id AS seq, points, reason, false AS firm FROM sf
   UNION ALL SELECT query_id, 'memory', id, 'support', 5 * 10000000000000 + id, points, 'memory expansion from related task context', false FROM sm),
 seeds AS (
-  SELECT query_id * 100 + rank AS sid, query_id, 'symbol' AS source, rank AS nth, 'symbol' AS nk, id AS nid, [{', '.join(f"'{t}'" for t in S.SYMBOL_SEED_TYPES)}] AS types, lim, CASE WHEN mode = 'refactor' THEN 2 ELSE 1 END AS hops FROM ls JOIN q USING (query_id) WHERE rank <= 4
-  UNION ALL SELECT query_id * 100 + 10 + rank, query_id, 'file', rank, 'file', id, [{', '.join(f"'{t}'" for t in S.FILE_SEED_TYPES)}], lim, CASE WHEN is_support THEN 2 ELSE 1 END FROM lf JOIN q USING (query_id) WHERE rank <= 3
-  UNION ALL SELECT query_id * 100 + 20 + r, query_id, 'memory', r, 'memory', id, [{', '.join(f"'{t}'" for t in S.MEMORY_SEED_TYPES)}], lim, 2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM lm WHERE status = 'active') JOIN q USING (query_id) WHERE r <= 3),
+  SELECT query_id * 100 + rank AS sid, query_id, 'symbol' AS source, rank AS nth, 'symbol' AS nk, id AS nid, ['FILE_CONTAINS_SYMBOL', 'TEST_COVERS_SYMBOL', 'DOC_DESCRIBES_SYMBOL', 'DOC_DESCRIBES_FILE', 'CONFIG_AFFECTS_FILE', 'APPLIES_TO'] AS types, lim, CASE WHEN mode = 'refactor' THEN 2 ELSE 1 END AS hops FROM ls JOIN q USING (query_id) WHERE rank <= 4
+  UNION ALL SELECT query_id * 100 + 10 + rank, query_id, 'file', rank, 'file', id, ['FILE_IMPORTS_FILE', 'FILE_CONTAINS_SYMBOL', 'TEST_COVERS_SYMBOL', 'DOC_DESCRIBES_SYMBOL', 'DOC_DESCRIBES_FILE', 'CONFIG_AFFECTS_FILE', 'APPLIES_TO'], lim, CASE WHEN is_support THEN 2 ELSE 1 END FROM lf JOIN q USING (query_id) WHERE rank <= 3
+  UNION ALL SELECT query_id * 100 + 20 + r, query_id, 'memory', r, 'memory', id, ['APPLIES_TO', 'CONSTRAINS', 'WARNS_ABOUT', 'IMPLEMENTED_BY', 'FILE_CONTAINS_SYMBOL'], lim, 2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM lm WHERE status = 'active') JOIN q USING (query_id) WHERE r <= 3),
 both_ways AS (SELECT id, edge_type, fk AS nk, fid AS nid, tk AS ok, tid AS oid FROM edg WHERE tid IS NOT NULL UNION ALL SELECT id, edge_type, tk, tid, fk, fid FROM edg WHERE fid IS NOT NULL AND NOT (fk IS NOT DISTINCT FROM tk AND fid IS NOT DISTINCT FROM tid)),
 h1a AS (SELECT * FROM (SELECT s.sid, s.nk AS sk, s.nid AS snid, s.types, s.lim, s.hops, b.ok, b.oid, b.edge_type, row_number() OVER (PARTITION BY s.sid ORDER BY b.id) AS nth FROM seeds s JOIN both_ways b ON b.nk = s.nk AND b.nid = s.nid AND list_contains(s.types, b.edge_type)) WHERE nth <= lim),
 h1b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, ok, oid ORDER BY nth) AS pick FROM h1a WHERE NOT (ok = sk AND oid = snid)) WHERE pick = 1),
@@ -173,7 +180,7 @@ pk1 AS (SELECT p.*, unnest(list_filter([CASE WHEN NOT (f.is_test OR f.is_doc OR
 pk2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY n) AS nth FROM pk1),
 pk3 AS (SELECT query_id, id, min(bucket * 1000 + nth) AS key FROM pk2 WHERE nth <= CASE bucket WHEN 0 THEN p_code WHEN 1 THEN p_test WHEN 2 THEN p_doc WHEN 3 THEN p_config ELSE lim END GROUP BY ALL),
 packed AS (
-  SELECT * FROM (SELECT query_id, 'file' AS kind, id, row_number() OVER (PARTITION BY query_id ORDER BY key) AS place FROM pk3) WHERE place <= {S.PACKED_FILES}
+  SELECT * FROM (SELECT query_id, 'file' AS kind, id, row_number() OVER (PARTITION BY query_id ORDER BY key) AS place FROM pk3) WHERE place <= 8
   UNION ALL SELECT query_id, kind, id, n FROM pk0 WHERE kind <> 'file' AND n <= CASE kind WHEN 'symbol' THEN p_symbols ELSE p_memories END),
 members AS (SELECT DISTINCT * FROM (SELECT query_id, stage, kind, id FROM sig WHERE stage IS NOT NULL UNION ALL SELECT query_id, 'selected', kind, id FROM selection UNION ALL SELECT query_id, 'packed', kind, id FROM packed) WHERE kind IN ('file', 'symbol', 'memory')),
 gold0 AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{w}')" for k, w in GOLD.items())}) g(query_id, word)),
@@ -215,6 +222,26 @@ def _rates(r: Retrieval):
     return o.groupBy("kind").agg(F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 3).alias("hit_rate"), F.round(F.avg(F.col("hits") / F.col("n")), 4).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
+def _recall_per_tokens(r: Retrieval):
+    """File recall (1 without gold) per thousand packed tokens (0 without any)."""
+    recall = outcomes(r).where("kind = 'file'").groupBy("query_id").agg((F.count_if(F.col("outcome") == "hit") / F.count(F.lit(1))).alias("recall"))
+    packed = r.files.select("id", "summary").join(F.broadcast(r.packed.where("kind = 'file'")), "id").groupBy("query_id").agg(F.sum(F.ceil(F.length(F.coalesce("summary", F.lit(""))) / 4)).alias("tokens"))
+    x = r.queries.select("query_id").join(packed, "query_id", "left").join(recall, "query_id", "left")
+    per = F.when(F.coalesce("tokens", F.lit(0)) == 0, 0.0).otherwise(F.coalesce("recall", F.lit(1.0)) / (F.col("tokens") / 1000))
+    return x.select("query_id", F.round(per, 4).alias("recall_per_1k"))
+
+
+def _gold_spans(r: Retrieval):
+    """(query_id, file, first, last) of the gold symbols."""
+    g = gold_rows(r).where("kind = 'symbol'").select("query_id", "id")
+    s = r.symbols.select("id", "file_id", "line_start", "line_end").join(g, "id").join(r.files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id")
+    return s.select("query_id", "file", F.col("line_start").alias("first"), F.col("line_end").alias("last")).distinct()
+
+
+_SNIPPETS = r"""SELECT p.query_id, p.place, f.path AS file, y.qualified_name AS symbol, y.line_start AS low, y.line_end AS high,
+ CASE WHEN c.content IS NULL OR y.line_start IS NULL OR y.line_end IS NULL THEN '' ELSE coalesce(array_to_string(list_slice(string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)), y.line_start, y.line_end), chr(10)), '') END AS code
+ FROM packed p JOIN syms y ON y.id = p.id JOIN packed pf ON pf.query_id = p.query_id AND pf.kind = 'file' AND pf.id = y.file_id JOIN files_now f ON f.id = y.file_id
+ LEFT JOIN (SELECT file_id, max(content) AS content FROM source_files GROUP BY 1) c ON c.file_id = f.id WHERE p.kind = 'symbol' AND p.place <= 6"""
 _NODE = "query_id, kind, id"
 _STAGES = {
     # name: (Spark stage, SQL of the same rows)
@@ -278,8 +305,20 @@ _STAGES = {
         r"SELECT p.query_id, sum(len(list_filter(regexp_split_to_array(coalesce(summary, ''), '\s+'), lambda w: w <> '')))::BIGINT AS words, sum(ceil(length(coalesce(summary, '')) / 4))::BIGINT AS tokens FROM packed p JOIN files_now f ON f.id = p.id WHERE p.kind = 'file' GROUP BY p.query_id",
     ),
     "recall_per_tokens": (
-        lambda r: outcomes(r).where("kind = 'file'").groupBy("query_id").agg((F.count_if(F.col("outcome") == "hit") / F.count(F.lit(1))).alias("recall")).join(r.files.select("id", "summary").join(F.broadcast(r.packed.where("kind = 'file'")), "id").groupBy("query_id").agg(F.sum(F.ceil(F.length(F.coalesce("summary", F.lit(""))) / 4)).alias("tokens")), "query_id").select("query_id", F.round(F.col("recall") / (F.col("tokens") / 1000), 4).alias("recall_per_1k")),
-        "SELECT query_id, round(recall / (tokens / 1000), 4)::DOUBLE AS recall_per_1k FROM (SELECT query_id, count(*) FILTER (outcome = 'hit') / count(*) AS recall FROM miss WHERE kind = 'file' GROUP BY 1) JOIN (SELECT p.query_id, sum(ceil(length(coalesce(summary, '')) / 4)) AS tokens FROM packed p JOIN files_now f ON f.id = p.id WHERE p.kind = 'file' GROUP BY 1) USING (query_id)",
+        lambda r: _recall_per_tokens(r),
+        """SELECT query_id, round(CASE WHEN tokens = 0 THEN 0 ELSE coalesce(recall, 1.0) / (tokens / 1000) END, 4)::DOUBLE AS recall_per_1k FROM (SELECT q.query_id, coalesce(sum(ceil(length(coalesce(summary, '')) / 4)), 0) AS tokens FROM q LEFT JOIN packed p ON p.query_id = q.query_id AND p.kind = 'file' LEFT JOIN files_now f ON f.id = p.id GROUP BY 1)
+ LEFT JOIN (SELECT query_id, count(*) FILTER (outcome = 'hit') / count(*) AS recall FROM miss WHERE kind = 'file' GROUP BY 1) USING (query_id)""",
+    ),
+    "pack_payload": (
+        lambda r: r.context.select("query_id", F.explode(F.concat("files", "symbols", "memories")).alias("x")).select("query_id", "x.place", "x.id", "x.label", F.coalesce("x.summary", F.lit("-")).alias("summary"), "x.why"),
+        """SELECT p.query_id, p.place, p.id, coalesce(f.path, s.qualified_name, s.name, m.title) AS label, coalesce(f.summary, s.summary, m.summary, '-') AS summary, coalesce(l.reason, 'selected by hybrid score') AS why
+ FROM packed p JOIN selection l ON l.query_id = p.query_id AND l.kind = p.kind AND l.id = p.id LEFT JOIN files_now f ON p.kind = 'file' AND f.id = p.id LEFT JOIN syms s ON p.kind = 'symbol' AND s.id = p.id LEFT JOIN mems m ON p.kind = 'memory' AND m.id = p.id""",
+    ),
+    "pack_snippets": (lambda r: r.snippets.select("query_id", "place", "file", "symbol", "low", "high", F.md5("code").alias("digest")), "SELECT query_id, place, file, symbol, low, high, md5(code) AS digest FROM (" + _SNIPPETS + ")"),
+    "snippet_recall": (
+        lambda r: evaluate.span_recall(_gold_spans(r), r.snippets.select("query_id", "file", "low", "high"), ["query_id"]),
+        "SELECT query_id, count(*) AS n_spans, sum(hit)::BIGINT AS n_hit, round(avg(hit), 4)::DOUBLE AS recall FROM (SELECT g.query_id, g.path, g.low, g.high, max((s.file = g.path AND g.low <= s.high AND g.high >= s.low)::INT) AS hit FROM ("
+        "SELECT DISTINCT g.query_id, f.path, y.line_start AS low, y.line_end AS high FROM gold g JOIN syms y ON y.id = g.id JOIN files_now f ON f.id = y.file_id WHERE g.kind = 'symbol' AND y.line_start IS NOT NULL AND y.line_end IS NOT NULL) g JOIN (" + _SNIPPETS + ") s ON s.query_id = g.query_id WHERE s.low IS NOT NULL AND s.high IS NOT NULL GROUP BY ALL) GROUP BY 1",
     ),
 }
 

@@ -22,6 +22,7 @@ from ..session import cut, table
 from . import settings as S
 
 GLOBAL = -1  # stands for the repository of memories that belong to none
+TABLES = ("files", "symbols", "memories", "edges", "node_embeddings", "source_files")
 STAGE = 10**13
 DIMS = 64
 SIGNAL = ["query_id", "kind", "id", "stage", "seq", "points", "reason", "firm"]
@@ -52,8 +53,9 @@ class Retrieval:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], queries: list[tuple]):
         # current rows are settled once, since most stages read them; edges and vectors are settled after the query set has filtered them
         self.files = cut(catalog.files(tables["files"]).drop("excerpt"))
-        self.symbols = cut(catalog.symbols(tables["symbols"]).select("id", "repo_id", "file_id", "name", "qualified_name", "symbol_type", "docstring", "summary"))
+        self.symbols = cut(catalog.symbols(tables["symbols"]).select("id", "repo_id", "file_id", "name", "qualified_name", "symbol_type", "line_start", "line_end", "docstring", "summary"))
         self.memories = catalog.memories(tables["memories"])
+        self.sources = tables["source_files"].where("file_id is not null and content is not null").select("file_id", "content")
         self.edges, self.vectors = catalog.edge_rows(tables["edges"]), catalog.embedding_rows(tables["node_embeddings"])
         q = query_frame(spark, queries)
         self.queries = q.withColumns({"terms": T.query_terms("text"), "rterms": T.rerank_terms("text"), "aliases": T.query_aliases("text")})
@@ -61,7 +63,7 @@ class Retrieval:
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str, queries: list[tuple]) -> Retrieval:
-        return cls(spark, {n: table(spark, sf_dir, n) for n in ("files", "symbols", "memories", "edges", "node_embeddings")}, queries)
+        return cls(spark, {n: table(spark, sf_dir, n) for n in TABLES}, queries)
 
     def _once(self, name: str, build, small: bool = True) -> DataFrame:
         """Build a stage once. Small stages (a bounded number of rows per query) are written and their lineage is cut."""
@@ -388,6 +390,26 @@ class Retrieval:
 
         return self._once("packed", build)
 
+    @property
+    def snippets(self) -> DataFrame:
+        """(query_id, place, file, symbol, low, high, code): the code of the first packed symbols whose file is packed too.
+
+        Code is blank where the text is not held or a line is null.
+        """
+
+        def build():
+            p = self.packed
+            s = self.symbols.join(F.broadcast(p.where((F.col("kind") == "symbol") & (F.col("place") <= S.SNIPPETS)).select("query_id", "id", "place")), "id")
+            f = self.files.select(F.col("id").alias("file_id"), F.col("path").alias("file")).join(F.broadcast(p.where("kind = 'file'").select("query_id", F.col("id").alias("file_id"))), "file_id")
+            s = s.select("query_id", "place", "file_id", F.col("qualified_name").alias("symbol"), F.col("line_start").alias("low"), F.col("line_end").alias("high")).join(f, ["query_id", "file_id"])
+            s = cut(s)
+            text = self.sources.join(F.broadcast(s.select("file_id").distinct()), "file_id", "left_semi").groupBy("file_id").agg(F.max("content").alias("content"))  # at most six files a query
+            lines = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")
+            code = F.when((F.col("low") >= 1) & (F.col("high") >= F.col("low")), F.array_join(F.slice(lines, F.col("low"), F.col("high") - F.col("low") + 1), "\n"))
+            return s.join(text, "file_id", "left").select("query_id", "place", "file", "symbol", "low", "high", F.coalesce(code, F.lit("")).alias("code"))
+
+        return self._once("snippets", build)
+
     @property
     def stage_members(self) -> DataFrame:
         """(query_id, stage, kind, id): distinct nodes that each stage reached."""

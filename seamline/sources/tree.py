@@ -7,14 +7,16 @@ the root, so that listing and reading are spread over the executors.
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import glob_regex
+
 
 class _Subtree(InputPartition):
     def __init__(self, folder: str, deep: bool):
@@ -22,11 +24,12 @@ class _Subtree(InputPartition):
 
 
 def included(path: str, include: list[str], exclude: list[str]) -> bool:
-    """Whether a relative path matches an include glob (none means any) and no exclude glob; ``*`` crosses slashes.
+    """Whether a relative path matches an include glob (none means any) and no exclude glob.
 
-    ``**/`` also matches files at the root.
+    Globs are those of ``functions.text.glob_regex``: ``*`` crosses slashes, and
+    ``**/`` asks for at least one folder.
     """
-    hit = lambda g: fnmatch.fnmatchcase(path, g) or g.startswith("**/") and fnmatch.fnmatchcase(path, g[3:])
+    hit = lambda g: re.search(glob_regex(g), path, re.S) is not None
     return (not include or any(map(hit, include))) and not any(map(hit, exclude))
 
 
