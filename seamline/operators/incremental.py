@@ -12,8 +12,6 @@ committed, and output and state become visible together.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import checksum, plain
 from ..session import shared_dir
+from .versions import Versions, VersionTaken
 
 #: Parts of a state; a commit rewrites only those that hold a processed key.
 BUCKETS = 32
@@ -28,10 +27,6 @@ BUCKETS = 32
 ATTEMPTS = 8
 
 
-class VersionTaken(RuntimeError):
-    """Another writer has committed the version that this commit was to become."""
-
-
 def newest(df: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
     """One row per key: that of the greatest ``order`` (nulls least), ties by the kept values."""
     picked = F.max_by(F.struct(*keep), F.struct(*order, *keep)).alias("r")
@@ -69,40 +64,19 @@ def pending_files(files: DataFrame, state: DataFrame, runs: DataFrame, root: str
     return store.changed(current).select(F.col("file_id").cast("long").alias("file_id"), F.col("change").alias("reason"))
 
 
-class StateStore:
-    """Versioned (key, content_hash) state in a folder of any Hadoop file system.
+class StateStore(Versions):
+    """Versioned (key, content_hash) state.
 
-    ``current-<N>`` is the manifest of version N: the folder of each bucket, the
-    run's output if it has any, and the last epoch of each stream. The manifest
-    is claimed by a hard link on local and mounted folders and by a rename that
-    never replaces elsewhere; file systems without such a rename (object stores)
-    need a folder of one that has it.
+    The manifest of a version names the folder of each bucket, the run's output
+    if it has any, and the last epoch of each stream.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str = "key", buckets: int = BUCKETS):
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
-        self._jvm = spark.sparkContext._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-        self._fs.mkdirs(self._path(self.root))
-
-    def _versions(self) -> list[int]:
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
-        return sorted(int(n[8:]) for n in names if n.startswith("current-"))
-
-    def version(self) -> int:
-        """The version in force; 0 before the first commit."""
-        return max(self._versions(), default=0)
+        super().__init__(spark, root)
+        self.key, self.buckets = key, buckets
 
     def _manifest(self, version: int) -> dict:
-        if not version:
-            return {"buckets": {}, "output": None, "epochs": {}}
-        stream = self._fs.open(self._path(f"{self.root}/current-{version}"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self._load(version) if version else {"buckets": {}, "output": None, "epochs": {}}
 
     def _parts(self, manifest: dict, only: set[str] | None = None) -> DataFrame:
         folders = sorted({f for b, f in manifest["buckets"].items() if only is None or b in only})
@@ -174,43 +148,18 @@ class StateStore:
         merged = both.select("*", of).repartition("bucket").groupBy("bucket", self.key).agg(F.max_by("content_hash", F.struct("_r", "content_hash")).alias("content_hash"))
         folder = f"state-{uuid.uuid4().hex}"
         merged.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")))
-        written = {n[7:]: f"{folder}/{n}" for n in names if n.startswith("bucket=")}
+        written = {n[7:]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
         epochs = {**manifest["epochs"], **({stream: epoch} if stream is not None else {})}
         self._claim(base + 1, {"buckets": {**manifest["buckets"], **written}, "output": output, "epochs": epochs})
         return base + 1
 
-    def _claim(self, version: int, manifest: dict) -> None:
-        draft, target = f"{self.root}/.draft-{uuid.uuid4().hex}", f"{self.root}/current-{version}"
-        out = self._fs.create(self._path(draft), False)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
-        out.close()
-        try:
-            if self._fs.getUri().getScheme() == "file":
-                local = lambda p: self._path(p).toUri().getPath()
-                os.link(local(draft), local(target))
-            else:
-                options = self._jvm.org.apache.hadoop.fs.Options
-                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf)
-                kinds = self.spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 0)
-                context.rename(self._path(draft), self._path(target), kinds)
-        except FileExistsError as e:
-            raise VersionTaken(target) from e
-        except Exception as e:
-            if "FileAlreadyExistsException" in str(e):
-                raise VersionTaken(target) from e
-            raise
-        finally:
-            self._fs.delete(self._path(draft), False)
-
     def vacuum(self, keep: int = 2) -> int:
         """Delete state folders that none of the last ``keep`` versions refers to; returns their number.
 
         Not to be run beside a commit. Output is kept.
         """
         used = {f.split("/")[0] for v in self._versions()[-keep:] for f in self._manifest(v)["buckets"].values()}
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        dead = [n for n in names if n.startswith("state-") and n not in used]
+        dead = [n for n in self._names() if n.startswith("state-") and n not in used]
         for n in dead:
             self._fs.delete(self._path(f"{self.root}/{n}"), True)
         return len(dead)

@@ -107,15 +107,17 @@ def parse_one(path: str, text: str) -> tuple:
     return language, [], f"{language.title()} document {name}: {first[:120]}", [], None
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """(file_id, path, text) -> SCHEMA. Null texts count as empty; documents keep a summary only."""
+def parse_files(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, path, text, keep...) -> SCHEMA and the kept columns. Null texts count as empty; documents keep a summary only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(f, *parse_one(p or "", t or "")) for f, p, t in zip(b["file_id"], b["path"], b["text"])]
-            yield pd.DataFrame(rows, columns=["file_id", "language", "imports", "summary", "symbols", "error"])
+            out = pd.DataFrame(rows, columns=["file_id", "language", "imports", "summary", "symbols", "error"])
+            yield out.assign(**{c: b[c].to_numpy() for c in keep})
 
-    return files.select("file_id", "path", "text").mapInPandas(run, SCHEMA)
+    kinds = dict(files.dtypes)
+    return files.select("file_id", "path", "text", *(c for c in keep if c != "path")).mapInPandas(run, SCHEMA + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def path_tags(path: Column | str) -> Column:

@@ -9,16 +9,10 @@ from ..functions import text as T
 from ..functions.vectors import token_buckets, top_similar
 from ..operators import catalog, edges, evaluate, parsers, snapshot
 from ..session import table
+from .indexing import EXCLUDE, INCLUDE
+from .indexing import effective_excludes as effective_excludes_of
 from .retrieval_queries import BASE
 
-# Default globs of a scan.
-INCLUDE = ("**/*.py", "**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.md", "**/*.json", "**/*.yaml", "**/*.yml", "**/*.toml")
-EXCLUDE = (
-    ".git/**", "**/.git/**", "node_modules/**", "**/node_modules/**", ".venv/**", "**/.venv/**", "venv/**", "**/venv/**",
-    "dist/**", "**/dist/**", "build/**", "**/build/**", "__pycache__/**", "**/__pycache__/**", ".pytest_cache/**", "**/.pytest_cache/**",
-)
-# What an index run leaves out in any case.
-ALWAYS_EXCLUDE = ("**/.git/**", "**/node_modules/**", "**/.venv/**", "**/venv/**", "**/dist/**", "**/build/**", "**/__pycache__/**", "**/.pytest_cache/**")
 QUESTION = "Why does the retry snapshot lose its sealed lease before the router is rebuilt?"
 FORTUNE = (100, "The decision: Calpex will hash the ticket while the sealed worker stays cold")
 
@@ -47,18 +41,13 @@ def _any(globs):
     return "|".join(T.glob_regex(g) for g in globs)
 
 
-def effective_exclude_globs(own):
-    """A repository's own globs, the defaults and those of every run, each once in this order."""
-    return F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<string>")), F.array(*map(F.lit, EXCLUDE + ALWAYS_EXCLUDE))))
-
-
 def glob_filter(s, d):
     return _files(s, d).where(F.col("path").rlike(_any(INCLUDE)) & ~F.col("path").rlike(_any(EXCLUDE))).select("id", "path")
 
 
 def effective_excludes(s, d):
     r = catalog.once(table(s, d, "repos"))
-    return r.select("id", F.array_join(effective_exclude_globs("exclude_globs"), " ").alias("globs"))
+    return r.select("id", F.array_join(effective_excludes_of("exclude_globs"), " ").alias("globs"))
 
 
 def repo_files(s, d):

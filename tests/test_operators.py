@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline.functions import text as T
-from seamline.operators import edges, evaluate, graph, incremental, orphans, parsers, snapshot
+from seamline.functions.providers import provider
+from seamline.operators import edges, evaluate, graph, incremental, orphans, parsers, snapshot, versions
 from seamline.plans import settings as S
+from seamline.plans.indexing import Index
 from seamline.sources import rows, tree
 from seamline.streaming import logs
 
@@ -91,6 +93,56 @@ def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
     assert not [n for n in os.listdir(tmp_path / "state") if n.startswith(".draft")]
 
 
+def test_index_flow(spark, tmp_path):
+    root = tmp_path / "repo"
+    texts = {
+        "app/__init__.py": "", "app/worker.py": "import app.service\n\ndef run(queue):\n    return service.retry_snapshot(queue)\n", "app/service.py": "class Retry:\n    def again(self, n):\n        return n\n\ndef retry_snapshot(queue):\n    return queue\n",
+        "tests/test_service.py": "import app.service\n", "docs/adr-retry.md": "# Retry\n\nThe retry_snapshot stays.\n", "config/retry.toml": '[retry]\nmodule = "app.service"\nlimit = 3\n', ".venv/x/y.py": "z = 1", "inner/repo/a.py": "b = 2",
+    }
+
+    def put(path, text):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+
+    for p, t in texts.items():
+        put(p, t)
+    index = Index(spark, str(tmp_path / "index"), provider(16))
+    rid = index.add_repo("demo", str(root))
+    index.add_repo("inner", str(root / "inner/repo"))
+    with pytest.raises(ValueError):
+        index.add_repo("demo", "/elsewhere")
+    with pytest.raises(ValueError):
+        index.repo("none")
+    assert index.index_repo("demo") == {"repo": "demo", "indexed": 6, "skipped": 0, "discovered": 6}
+    kinds = {r.edge_type: r["count"] for r in index.table("edges").groupBy("edge_type").count().collect()}
+    assert set(kinds) == {"FILE_CONTAINS_SYMBOL", "FILE_IMPORTS_FILE", "TEST_COVERS_SYMBOL", "DOC_DESCRIBES_SYMBOL", "DOC_DESCRIBES_FILE", "CONFIG_AFFECTS_FILE"} and kinds["FILE_IMPORTS_FILE"] == 2 and kinds["FILE_CONTAINS_SYMBOL"] == 4
+    ids = {r.qualified_name: (r.id, r.parent_symbol_id) for r in index.table("symbols").collect()}
+    assert ids["Retry.again"][1] == ids["Retry"][0] and set(ids) == {"run", "Retry", "Retry.again", "retry_snapshot"}
+    made = index.create_memories(spark.createDataFrame([(rid, "T", "why it retries", "decision")], "repo_id long, title string, content string, memory_type string"))
+    links = [("symbol", ids["Retry"][0]), ("symbol", ids["run"][0])]
+    index.link_memories(made.select(F.col("id").alias("from_memory_id")).crossJoin(spark.createDataFrame(links, "to_node_kind string, to_node_id long")))
+    # one file changes, one goes, one is broken
+    put("app/service.py", "def retry_snapshot(queue, n):\n    return n\n")
+    (root / "docs/adr-retry.md").unlink()
+    put("app/broken.py", "def (")
+    before = index.version()
+    assert index.index_repo("demo") == {"repo": "demo", "indexed": 2, "skipped": 4, "discovered": 6}
+    assert {r.qualified_name for r in index.table("symbols").collect()} == {"run", "retry_snapshot"} and index.table("symbols", version=before).count() == 4
+    own = index.table("edges").where("edge_type = 'APPLIES_TO'").collect()
+    assert [(r.to_node_id, r.repo_id, r.weight) for r in own] == [(ids["run"][0], rid, 1.0)]  # the link to the symbol that is gone went with it
+    assert {r.path: r.error for r in index.table("files").collect() if r.error} == {"app/broken.py": "SyntaxError: invalid syntax (<unknown>, line 1)"}
+    nodes = {(r.node_kind, r.node_id) for r in index.table("node_embeddings").collect()}
+    assert nodes == {("file", r.id) for r in index.table("files").collect()} | {("symbol", r.id) for r in index.table("symbols").collect()} | {("memory", r.id) for r in made.collect()}
+    again = index.index_repo("demo")
+    assert (again["indexed"], again["skipped"]) == (0, 6)
+    # a run that began before another one committed changes nothing
+    with pytest.raises(versions.VersionTaken):
+        index.commit({"files": (index.table("files"), [rid])}, base=before)
+    remote = provider(4, client=lambda: lambda texts: [[float(len(t)), 0, 0, 0] for t in texts], model_name="far")
+    counts = index.reconcile_embeddings(remote)
+    assert counts["final_embedding_count"] == len(nodes) and {(r.model_name, len(r.vector), r.dimensions) for r in index.table("node_embeddings").collect()} == {("far", 4, 4)}
+
+
 def bfs(adj, start, lim, hops):
     queue, seen, out = deque([(start, 0)]), {start}, []
     while queue and len(out) < lim:
@@ -148,26 +200,45 @@ def test_query_terms(spark):
 
 
 def test_parsers(spark):
-    py = 'import a.b\nfrom m import x\nclass C:\n    "doc"\n    def m(self, q):\n        return q.some_name\nasync def f(a):\n    pass\n'
-    ts = "import { a } from './a';\n\nexport async function go() {\n}\nexport const LIMIT = 3;\nclass K {}\n"
-    df = spark.createDataFrame([(1, "x/a.py", py), (2, "b.ts", ts), (3, "c.py", "def ("), (4, "README.md", "\n# Title of it\n"), (5, "e.py", None), (6, None, "")], "file_id long, path string, text string")
+    py = 'import a.b\nfrom m import x\nfrom . import z\nclass C:\n    "doc"\n    def m(self, q, /, r, *s, k=1):\n        return q.some_name\nasync def f(a):\n    return g(" Two Words ", a)\n'
+    ts = "import { a } from './a';\n\nexport function go(a, b) {\n}\nexport const LIMIT = 3;\n  class K {}\n// This class that wraps a function call(x) is old.\n"
+    df = spark.createDataFrame([(1, "x/a.py", py), (2, "b.ts", ts), (3, "c.py", "def ("), (4, "README.md", "\n# Title of it\n"), (5, "e.py", None), (6, None, ""), (7, "d/n.yaml", "###\nx: 1"), (8, "e.JSX", ts)], "file_id long, path string, text string")
     out = {r.file_id: r for r in parsers.parse_files(df).collect()}
-    assert [s.qualified_name for s in out[1].symbols] == ["C", "C.m", "f"] and out[1].imports == ["a.b", "m"]
-    assert out[1].symbols[2].signature == "async def f(a)"
-    assert [(s.name, s.line_start) for s in out[2].symbols] == [("go", 3), ("K", 6), ("LIMIT", 5)] and out[2].imports == ["./a"]
-    assert out[3].error and out[3].symbols == [] and out[4].summary.endswith("README.md: Title of it") and out[5].symbols == [] and len(out) == 6
+    line = lambda r: [(s.name, s.symbol_type, s.line_start, s.line_end, s.signature, s.docstring, s.qualified_name, s.parent_name, s.summary) for s in r.symbols]
+    assert line(out[1]) == [
+        ("C", "class", 4, 7, None, "doc", "C", None, "Python class C"),
+        ("m", "method", 6, 7, "def m(r)", None, "C.m", "C", "Python callable m using some_name"),
+        ("f", "function", 8, 9, "async def f(a)", None, "f", None, "Python callable f using two_words"),
+    ]
+    assert out[1].imports == ["a.b", "m"] and out[1].summary == "Python module a.py with 3 top-level symbols and 2 imports. Key symbols: C, m, f. Keywords: python, class, callable, using, some, name."
+    assert line(out[2]) == [
+        ("go", "function", 2, 5, "function go(a, b)", None, "go", None, "Typescript function go"),
+        ("K", "class", 6, 7, "class K", None, "K", None, "Typescript class K"),
+        ("LIMIT", "exported_constant", 5, 7, "const LIMIT", None, "LIMIT", None, "Typescript exported_constant LIMIT"),
+    ]
+    assert out[2].imports == ["./a"] and out[2].summary == "Typescript module b.ts with 3 exported symbols." and out[8].summary == "Javascript module e.JSX with 3 exported symbols."
+    assert out[3].error.startswith("SyntaxError") and out[3].symbols == [] and out[4].summary == "Markdown document README.md: Title of it"
+    assert out[5].summary == "Python module e.py with 0 top-level symbols and 0 imports." and out[6].summary == "Unknown document : " and out[7].summary == "Yaml document n.yaml: " and len(out) == 8
 
 
 def test_source_tree(spark, tmp_path):
-    for path, text in {"app/__init__.py": "", "app/deep/er/x.py": "x", ".hidden/y.py": "y", "README.md": "r", "node_modules/z/i.py": "n", "bad.py": b"a\xffb"}.items():
+    for path, text in {"app/__init__.py": "", "app/deep/er/x.py": "x", ".hidden/y.py": "y", "README.md": "r", "node_modules/z/i.py": "n", "app/bad.py": b"a\xffb"}.items():
         p = tmp_path / path
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(text if isinstance(text, bytes) else text.encode())
     tree.register(spark)
     df = spark.read.format("source_tree").option("include", "**/*.py,**/*.md").option("exclude", "node_modules/**").load(str(tmp_path))
     got = {r.path: r for r in df.collect()}
-    assert set(got) == {"app/__init__.py", "app/deep/er/x.py", ".hidden/y.py", "README.md", "bad.py"}
-    assert got["bad.py"].text == "ab" and got["app/__init__.py"].length == 0
+    # the globs are those of the queries: **/ asks for a folder, so files at the root need a glob of their own
+    assert set(got) == {"app/__init__.py", "app/deep/er/x.py", ".hidden/y.py", "app/bad.py"}
+    assert got["app/bad.py"].text == "ab" and got["app/__init__.py"].length == 0
+    root = spark.read.format("source_tree").option("include", "*.md").load(str(tmp_path))
+    assert [r.path for r in root.collect()] == ["README.md"]
+    globs = ["**/*.py", "*.py", "a?c/[!x]*.md", "x+y/**"]
+    paths = ["a.py", "b/a.py", "abc/y.md", "abc/x.md", "x+y/z", "xxy/z"]
+    for g in globs:
+        by_spark = {r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").where(F.col("p").rlike(T.glob_regex(g))).collect()}
+        assert by_spark == {p for p in paths if tree.included(p, [g], [])}
     assert tree.git_head(str(tmp_path)) == (None, None)
 
 
@@ -196,6 +267,24 @@ def test_gold(spark):
     assert [(r.file, r["first"], r["last"]) for r in g.collect()] == [("a/b.py", 1, 4)]
     spans = spark.createDataFrame([("a/b.py", 4, 9), ("a/b.py", 2, 3), ("c", 1, 9)], "file string, low int, high int")
     assert evaluate.span_hits(g, spans).count() == 1
+    gold = spark.createDataFrame([(1, "a", 1, 4), (1, "a", 9, 9), (1, "b", None, 3), (2, "a", 1, 2), (3, "a", 1, 1)], "q long, file string, first int, last int")
+    cuts = spark.createDataFrame([(1, "a", 4, 6), (1, "a", 2, 3), (1, "c", 9, 9), (2, "x/a", 1, 9)], "q long, file string, low int, high int")
+    assert {tuple(r) for r in evaluate.span_recall(gold, cuts, ["q"]).collect()} == {(1, 2, 1, 0.5), (2, 1, 0, 0.0)}
+
+
+def test_skipped_paths_and_baseline_terms(spark):
+    paths = {"a/b.py": False, "b.rst": False, "c.YML": False, "d.cfg": False, ".py": True, "x/.py": True, "a.ts": True, "build/a.py": True, "a/.pytest_cache/b.py": True, ".tox/a.py": False, "noext": True}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.s for r in df.select("p", evaluate.skipped_path("p").alias("s")).collect()} == paths
+    terms = spark.createDataFrame([("Why does the Retry_queue retry queues, and the retry?",)], "t string").select(evaluate.baseline_terms("t").alias("x")).first().x
+    assert terms == ["why", "retry", "queue", "queues"]
+
+
+def test_derived_edges(spark):
+    f = spark.createDataFrame([(1, 1, "app/service.py", [], False), (2, 1, "app/worker.py", ["app.service", "os"], False), (3, 1, "tests/test_service.py", ["app.service"], True), (4, 2, "app/service.py", ["app.worker"], False)], "id long, repo_id long, path string, imports array<string>, is_test boolean")
+    s = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, 4), (14, None)], "id long, file_id long")
+    assert {(r.repo_id, r.from_id, r.to_id) for r in edges.imports_file(f).collect()} == {(1, 2, 1), (1, 3, 1)}
+    assert {(r.repo_id, r.from_id, r.to_id) for r in edges.test_covers_symbol(f, s).collect()} == {(1, 3, 10), (1, 3, 11)}
 
 
 def test_edges_of_empty_tables(spark):

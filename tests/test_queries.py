@@ -5,10 +5,10 @@ import os
 
 import pytest
 
-from seamline.plans import data_queries, retrieval_queries, table_queries
+from seamline.plans import data_queries, index_queries, retrieval_queries, table_queries
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (retrieval_queries, table_queries, data_queries)
+MODULES = (retrieval_queries, table_queries, index_queries, data_queries)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES if n in m.SQL]
 
 
