@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import node_kind
+from ..session import cut
 
 BLOCK_BITS = 16
 SALTS = 8
@@ -69,7 +70,10 @@ def parent_keys(files: DataFrame, symbols: DataFrame, memories: DataFrame, repos
 
     f = earliest(files.select("id", "indexed_at"), "file", "indexed_at")
     of_file = f.select(F.col("key").alias("file_id"), "first_seen")
-    s = symbols.where(F.col("id").isNotNull()).select("id", "file_id").join(of_file, "file_id", "left")
+    known = symbols.where(F.col("id").isNotNull()).select("id", "file_id").distinct()
+    # symbols without a file have no date; they take no part in the join, where they would all share one key
+    s = known.where("file_id is not null").join(of_file, "file_id", "left").select("id", "first_seen")
+    s = s.unionByName(known.where("file_id is null").select("id", F.lit(None).cast(dict(f.dtypes)["first_seen"]).alias("first_seen")))
     return (
         f.unionByName(earliest(s, "symbol", "first_seen"))
         .unionByName(earliest(memories.select("id", "created_at"), "memory", "created_at"))
@@ -84,9 +88,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, tombstones: DataFrame
     tombstones: (kind, key). Defined cases: repeated references come out once;
     a null key or a kind without a table is no case; a null made_at or a parent
     without a date is never late; a key in both its table and the tombstones
-    exists. A key that very many references share is salted for the last join.
+    exists. A key that very many references share is salted for the last join,
+    and what a salt still leaves too large adaptive execution splits, as the
+    other side has each key once. References are aggregated once and written.
     """
-    used = refs.groupBy("kind", "key").agg(F.min("made_at").alias("first_use"))
+    used = cut(refs.groupBy("kind", "key").agg(F.min("made_at").alias("first_use")))
     absent = beyond_runs(used, key_runs(parents))
     gone = tombstones.where(F.col("key").isNotNull()).select("kind", "key").distinct().withColumn("was", F.lit(True))
     absent = absent.join(gone, ["kind", "key"], "left").select(
