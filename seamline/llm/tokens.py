@@ -10,12 +10,14 @@ and each pre-token is encoded; decoding maps the characters back to bytes.
 from __future__ import annotations
 
 import base64
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the vocabulary lies; a parameter of every function that reads it.
@@ -111,8 +113,15 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(path)
+    """One encoder per Python worker and vocabulary; reads the file that ``given`` sent along."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return Encoder(sent if os.path.exists(sent) else path)
+
+
+def given(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary of the driver to every executor, so that only the driver needs the path."""
+    spark.sparkContext.addFile(path)
+    return path
 
 
 def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -122,6 +131,8 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     that look like special tokens are ordinary text.
     """
 
+    path = given(documents.sparkSession, path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for b in batches:
@@ -133,6 +144,8 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) -> (doc_id, text); the inverse of encoding for valid text."""
 
+    path = given(encoded.sparkSession, path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for b in batches:
