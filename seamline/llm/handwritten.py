@@ -39,7 +39,7 @@ HASHES, BANDS = 64, 16
 SALTS = 8
 #: A word of a comment is a name, and masked, unless this share of the commented files and three of them use it.
 #: Hence at most 1 / RARE times the mean number of words of a comment are kept.
-RARE = 0.005
+RARE = 0.01
 #: A cluster is marked if at least LEAST of its members are, of comment lines or of code, and chance would give so many with a
 #: probability below CHANCE (Chernoff's bound). If PURE of those members bear one label, it is that.
 LEAST, CHANCE, PURE = {"note": 0.2, "code": 0.5}, 1e-2, 0.6
