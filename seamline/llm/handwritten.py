@@ -273,8 +273,13 @@ def clusters(classes: DataFrame) -> DataFrame:
     pairs of a band that are not joined yet are verified, in salted blocks, so
     that no link is lost however large a band is.
     """
-    band = classes.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
-    least = band.groupBy("band").agg(F.min("cls").alias("other"))
+    # sets of which one is smaller than SIMILAR times the other cannot be similar
+    w = F.split("text", " ")
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
+    classes = cut(classes.select("cls", "text", "bands", F.size(F.array_distinct(own)).alias("size")))
+    band = classes.select("cls", "size", F.explode(F.array_distinct("bands")).alias("band"))
+    least = band.groupBy("band").agg(F.min(F.struct(F.col("cls").alias("other"), F.col("size").alias("of_size"))).alias("o")).select("band", "o.*")
+    fits = (F.col("size") >= SIMILAR * F.col("of_size")) & (F.col("of_size") >= SIMILAR * F.col("size"))
     a = classes.select("cls", F.col("text").alias("a"))
     b = classes.select(F.col("cls").alias("other"), F.col("text").alias("b"))
 
@@ -297,12 +302,12 @@ def clusters(classes: DataFrame) -> DataFrame:
     def labelled(label: DataFrame) -> DataFrame:
         return cut(classes.select("cls").join(label, "cls", "left").select("cls", F.coalesce("cluster", "cls").alias("cluster")))
 
-    label = labelled(components(verified(band.join(least, "band").where("cls > other").select("cls", "other"))))
+    label = labelled(components(verified(band.join(least, "band").where(fits & (F.col("cls") > F.col("other"))).select("cls", "other"))))
     held = band.join(label, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     mixed = held.groupBy("band").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("band")
     held = cut(held.join(mixed, "band", "left_semi"))
-    every = held.select(F.col("cls").alias("other"), F.col("cluster").alias("of_other"), "band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    more = verified(held.join(every, ["band", "salt"]).where("cls > other and cluster != of_other").select("cls", "other"))
+    every = held.select(F.col("cls").alias("other"), F.col("cluster").alias("of_other"), F.col("size").alias("of_size"), "band", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    more = verified(held.join(every, ["band", "salt"]).where(fits & F.expr("cls > other and cluster != of_other")).select("cls", "other"))
     if more.isEmpty():
         return label
     # the clusters themselves are the classes of the second pass
