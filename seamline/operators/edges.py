@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import broadcast_if_small, cut
 
 # Words of settings that say nothing about code.
 CONFIG_STOPWORDS = ("config", "configs", "document", "settings", "default", "value", "values", "enabled", "workspace")
-SALTS = 8
+#: Settings and code files that are compared at once, and meetings of their terms.
+BLOCK = 1024
+MEETINGS = 1 << 21
 
 
 def contains_symbol(symbols: DataFrame) -> DataFrame:
@@ -65,26 +71,114 @@ def config_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
     A setting affects a code file of its repository if two of its terms occur in
     the file's text (path, summary, imports, symbol names and summaries), or if
-    the file's module name occurs in the setting. Pairs of a repository meet by
-    equality on it, salted by the code file so that a large repository spreads.
+    the file's module name occurs in the setting. A term lies within one word of
+    the text, so terms are looked for in every word of a repository once, not in
+    every file; settings and files meet in blocks that count their shared terms.
     """
-    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    files = cut(files.where("(is_config or is_code) and repo_id is not null and path is not null").select("id", "repo_id", "path", "summary", "imports", "excerpt", "is_config", "is_code"))
     text = F.lower(F.concat_ws(" ", "path", F.coalesce("summary", F.lit("")), F.coalesce("excerpt", F.lit(""))))
-    terms = F.array_distinct(F.filter(T.pieces(text, 4), lambda t: ~t.isin(*CONFIG_STOPWORDS)))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    configs = files.where("is_config").select("repo_id", F.col("id").alias("from_id"), text.alias("text"), terms.alias("all_terms")).where(F.size("all_terms") > 0).withColumn("salt", salts)
-    names = symbols.groupBy(F.col("file_id").alias("id")).agg(F.array_join(F.collect_list(F.concat_ws(" ", F.lower("name"), F.lower("summary"))), " ").alias("names"))
-    code = files.where("is_code").join(names, "id", "left")
-    hay = F.concat_ws(" ", lower(F.col("path")), lower(F.col("summary")), F.lower(F.array_join(F.coalesce("imports", F.array().cast("array<string>")), " ")), F.coalesce("names", F.lit("")))
-    hints = F.array(*(F.lower(F.regexp_replace(F.regexp_replace("path", rf"\.{e}$", ""), "/", ".")) for e in ("py", "ts", "js")))
-    code = code.select("repo_id", F.col("id").alias("to_id"), hay.alias("hay"), hints.alias("hints"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    x = configs.join(code, ["repo_id", "salt"])
-    x = x.withColumn("hit", F.filter("all_terms", lambda t: F.contains("hay", t))).withColumn("hinted", F.exists("hints", lambda h: (h != "") & F.contains("text", h)))
-    n = F.size("hit")
-    return x.where((n >= 2) | F.col("hinted")).select(
-        "repo_id", "from_id", "to_id", n.alias("n_terms"), F.col("hinted").cast("int").alias("hinted"),
-        F.round(1.0 + F.least(n, F.lit(4)) * 0.1 + F.when(F.col("hinted"), 0.2).otherwise(0.0), 6).alias("weight"), F.array_join(F.slice(F.array_sort("hit"), 1, 6), " ").alias("terms"),
-    )
+    terms = F.array_sort(F.array_distinct(F.filter(T.pieces(text, 4), lambda t: ~t.isin(*CONFIG_STOPWORDS))))
+    configs = files.where("is_config").select("repo_id", F.col("id").alias("from_id"), text.alias("text"), terms.alias("terms")).where(F.size("terms") > 0)
+    code = files.where("is_code").withColumnRenamed("id", "to_id")
+
+    # words of the code files, with the files that have them and the terms that they hold
+    words = lambda *columns: F.explode(F.array_distinct(T.pieces(F.lower(F.concat_ws(" ", *columns)), 4))).alias("word")
+    named = symbols.select(F.col("file_id").alias("to_id"), words("name", "summary")).join(code.select("repo_id", "to_id"), "to_id")
+    used = code.select("repo_id", "to_id", words("path", "summary", F.array_join("imports", " "))).unionByName(named).distinct()
+    used = cut(used.groupBy("repo_id", "word").agg(F.collect_list("to_id").alias("ids")))
+    wanted = configs.select("repo_id", F.explode("terms").alias("part")).distinct()
+    held = may_hold(used.select("repo_id", F.col("word").alias("key"), F.col("word").alias("text")), wanted, F.lit(1)).where(F.contains("key", F.col("part")))
+    held = held.groupBy("repo_id", F.col("key").alias("word")).agg(F.collect_list("part").alias("hits"))
+    hits = used.join(held, ["repo_id", "word"]).select("repo_id", F.explode("ids").alias("to_id"), "hits")
+
+    # module names in settings; that without its suffix is the start of the others
+    dotted = F.lower(F.regexp_replace("path", "/", "."))
+    bare = F.when(F.col("path").rlike(r"\.(py|ts|js)\z"), F.substring(dotted, F.lit(1), F.length(dotted) - 3)).otherwise(dotted)
+    hints = code.select("repo_id", "to_id", F.when(bare != "", bare).otherwise(dotted).alias("part")).where("part != ''")
+    last_dot = F.length("part") - F.locate(".", F.reverse("part")) + 1
+    hinted = may_hold(configs.select("repo_id", F.col("from_id").alias("key"), "text"), hints, last_dot - 8).withColumnRenamed("key", "from_id")
+    hinted = hinted.join(configs.select("repo_id", "from_id", "text"), ["repo_id", "from_id"]).where(F.contains("text", F.col("part"))).select("repo_id", "to_id", "from_id")
+
+    found = hits.unionByName(hinted, allowMissingColumns=True).groupBy("repo_id", "to_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.collect_set("from_id").alias("hinted_by"))
+    blocks = lambda df, name: df.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = blocks(configs, "n_settings").join(blocks(code, "n_code"), "repo_id")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = configs.join(blocks, "repo_id").select(F.col("repo_id").alias("repo"), block("from_id", "n_settings").alias("a"), every("n_code").alias("b"), "from_id", "terms")
+    right = found.join(blocks, "repo_id").select(F.col("repo_id").alias("repo"), every("n_settings").alias("a"), block("to_id", "n_code").alias("b"), "to_id", "hits", "hinted_by")
+    kinds = dict(configs.dtypes) | dict(code.dtypes)
+    out = f"repo_id {kinds['repo_id']}, from_id {kinds['from_id']}, to_id {kinds['to_id']}, n_terms int, hinted int, terms string"
+    n = F.col("n_terms")
+    x = left.groupBy("repo", "a", "b").cogroup(right.groupBy("repo", "a", "b")).applyInArrow(_shared_terms, out)
+    return x.select("repo_id", "from_id", "to_id", "n_terms", "hinted", F.round(1.0 + F.least(n, F.lit(4)) * 0.1 + F.when(F.col("hinted") == 1, 0.2).otherwise(0.0), 6).alias("weight"), "terms")
+
+
+def may_hold(texts: DataFrame, parts: DataFrame, at: Column) -> DataFrame:
+    """Rows of ``texts`` (repo_id, key, text) and ``parts`` (repo_id, part, ...) of a repository where the text may hold the part, without the text.
+
+    Both meet by equality on a piece of the part: its 16, 8, 4, 2 or 1 characters,
+    the most that it has, from position ``at`` on or as near to it as fits.
+    """
+    n = F.length("part")
+    size = F.when(n >= 16, 16).when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
+    parts = broadcast_if_small(parts.withColumn("size", size).withColumn("piece", F.substring("part", F.greatest(F.lit(1), F.least(at, n - F.col("size") + 1)), F.col("size"))))
+    sizes = [r["size"] for r in parts.select("size").distinct().collect()]
+
+    def runs(k: int) -> Column:
+        whole = F.length("text") - (k - 1)
+        return F.when(whole > 0, F.transform(F.sequence(F.lit(1), whole), lambda i: F.substring("text", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = texts.select("repo_id", "key", F.explode(F.array_distinct(F.concat(*(runs(k) for k in sizes or [1])))).alias("piece"))
+    return pieces.join(parts, ["repo_id", "piece"]).drop("piece", "size")
+
+
+def _shared_terms(key: tuple, settings: pa.Table, code: pa.Table) -> pa.Table:
+    """Pairs of a block of settings (from_id, terms) and one of code files (to_id, hits, hinted_by) that share two terms or a module name."""
+
+    def flat(table: pa.Table, column: str):
+        lists = pa.concat_arrays(table[column].chunks)
+        return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+    names = ("repo_id", "from_id", "to_id", "n_terms", "hinted", "terms")
+    if not settings.num_rows or not code.num_rows:
+        return pa.table({c: pa.array([], t) for c, t in zip(names, (key[0].type, settings.schema.field("from_id").type, code.schema.field("to_id").type, pa.int32(), pa.int32(), pa.string()))})
+    width = code.num_rows
+    row, terms = flat(settings, "terms")
+    hit_row, hits = flat(code, "hits")
+    ids = pa.concat_arrays([terms, hits]).dictionary_encode().indices.to_numpy()
+    mine, theirs = ids[: len(terms)], ids[len(terms) :]
+    order = np.argsort(theirs, kind="stable")
+    theirs, hit_row = theirs[order], hit_row[order]
+    first = np.searchsorted(theirs, mine, "left")
+    n = np.searchsorted(theirs, mine, "right") - first
+    by_row, by = flat(code, "hinted_by")
+    named = pc.index_in(by, value_set=pa.concat_arrays(settings["from_id"].chunks))
+    here = named.is_valid().to_numpy(zero_copy_only=False)
+    hinted = np.zeros(settings.num_rows * width, bool)
+    hinted[named.filter(named.is_valid()).to_numpy().astype(np.int64) * width + by_row[here]] = True
+    # settings by so many at once that the meetings of their terms stay few
+    begins = np.searchsorted(row, np.arange(settings.num_rows + 1))
+    met = np.concatenate(([0], np.cumsum(n)))[begins]
+    low, out = 0, []
+    while low < settings.num_rows:
+        high = max(low + 1, int(np.searchsorted(met, met[low] + MEETINGS, "right")) - 1)
+        some = slice(begins[low], begins[high])
+        at = np.repeat(np.arange(some.start, some.stop), n[some])
+        pair = (row[at] - low) * width + hit_row[np.arange(len(at)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + first[at]]
+        count = np.bincount(pair, minlength=(high - low) * width)
+        is_hinted = hinted[low * width : high * width]
+        good = (count >= 2) | is_hinted
+        pairs = np.flatnonzero(good)
+        at, pair = at[good[pair]], pair[good[pair]]
+        order = np.argsort(pair, kind="stable")  # terms of a setting are in order, so those of a pair are
+        at = at[order]
+        ends = np.cumsum(count[pairs])
+        nth = np.arange(len(at)) - np.repeat(ends - count[pairs], count[pairs])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(count[pairs], 6)))), pa.int32()), terms.take(pa.array(at[nth < 6])))
+        columns = (pa.repeat(key[0], len(pairs)), settings["from_id"].take(pa.array(pairs // width + low)), code["to_id"].take(pa.array(pairs % width)), count[pairs].astype(np.int32), is_hinted[pairs].astype(np.int32), pc.binary_join(lists, " "))
+        out.append(pa.table(dict(zip(names, columns))))
+        low = high
+    return pa.concat_tables(out)
 
 
 def memory_links(memories: DataFrame, files: DataFrame, symbols: DataFrame, stop: tuple[str, ...] = T.STOPWORDS, best: int = 4) -> DataFrame:
