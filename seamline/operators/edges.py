@@ -107,10 +107,8 @@ def config_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
     left = configs.join(blocks, "repo_id").select(F.col("repo_id").alias("repo"), block("from_id", "n_settings").alias("a"), every("n_code").alias("b"), "from_id", "terms")
     right = found.join(blocks, "repo_id").select(F.col("repo_id").alias("repo"), every("n_settings").alias("a"), block("to_id", "n_code").alias("b"), "to_id", "hits", "hinted_by")
     kinds = dict(configs.dtypes) | dict(code.dtypes)
-    out = f"repo_id {kinds['repo_id']}, from_id {kinds['from_id']}, to_id {kinds['to_id']}, n_terms int, hinted int, terms string"
-    n = F.col("n_terms")
-    x = left.groupBy("repo", "a", "b").cogroup(right.groupBy("repo", "a", "b")).applyInArrow(_shared_terms, out)
-    return x.select("repo_id", "from_id", "to_id", "n_terms", "hinted", F.round(1.0 + F.least(n, F.lit(4)) * 0.1 + F.when(F.col("hinted") == 1, 0.2).otherwise(0.0), 6).alias("weight"), "terms")
+    out = f"repo_id {kinds['repo_id']}, from_id {kinds['from_id']}, to_id {kinds['to_id']}, n_terms int, hinted int, weight double, terms string"
+    return left.groupBy("repo", "a", "b").cogroup(right.groupBy("repo", "a", "b")).applyInArrow(_shared_terms, out)
 
 
 def may_hold(texts: DataFrame, parts: DataFrame, at: Column) -> DataFrame:
@@ -139,9 +137,9 @@ def _shared_terms(key: tuple, settings: pa.Table, code: pa.Table) -> pa.Table:
         lists = pa.concat_arrays(table[column].chunks)
         return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
 
-    names = ("repo_id", "from_id", "to_id", "n_terms", "hinted", "terms")
+    names = ("repo_id", "from_id", "to_id", "n_terms", "hinted", "weight", "terms")
     if not settings.num_rows or not code.num_rows:
-        return pa.table({c: pa.array([], t) for c, t in zip(names, (key[0].type, settings.schema.field("from_id").type, code.schema.field("to_id").type, pa.int32(), pa.int32(), pa.string()))})
+        return pa.table({c: pa.array([], t) for c, t in zip(names, (key[0].type, settings.schema.field("from_id").type, code.schema.field("to_id").type, pa.int32(), pa.int32(), pa.float64(), pa.string()))})
     width = code.num_rows
     row, terms = flat(settings, "terms")
     hit_row, hits = flat(code, "hits")
@@ -175,7 +173,8 @@ def _shared_terms(key: tuple, settings: pa.Table, code: pa.Table) -> pa.Table:
         ends = np.cumsum(count[pairs])
         nth = np.arange(len(at)) - np.repeat(ends - count[pairs], count[pairs])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(count[pairs], 6)))), pa.int32()), terms.take(pa.array(at[nth < 6])))
-        columns = (pa.repeat(key[0], len(pairs)), settings["from_id"].take(pa.array(pairs // width + low)), code["to_id"].take(pa.array(pairs % width)), count[pairs].astype(np.int32), is_hinted[pairs].astype(np.int32), pc.binary_join(lists, " "))
+        weight = np.round(1.0 + np.minimum(count[pairs], 4) * 0.1 + is_hinted[pairs] * 0.2, 6)
+        columns = (pa.repeat(key[0], len(pairs)), settings["from_id"].take(pa.array(pairs // width + low)), code["to_id"].take(pa.array(pairs % width)), count[pairs].astype(np.int32), is_hinted[pairs].astype(np.int32), weight, pc.binary_join(lists, " "))
         out.append(pa.table(dict(zip(names, columns))))
         low = high
     return pa.concat_tables(out)

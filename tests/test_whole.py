@@ -92,7 +92,7 @@ def test_settings_in_slices(monkeypatch):
     settings = pa.table({"from_id": [1, 2, 3], "terms": [["aaaa", "bbbb", "cccc"], ["bbbb", "cccc"], ["dddd"]]})
     code = pa.table({"to_id": [7, 8], "hits": [["cccc", "bbbb"], ["cccc", "aaaa", "bbbb"]], "hinted_by": pa.array([[], [3, 99]], pa.list_(pa.int64()))})
     whole = edges._shared_terms((pa.scalar(4),), settings, code).to_pylist()
-    assert [tuple(r.values())[1:] for r in whole] == [(1, 7, 2, 0, "bbbb cccc"), (1, 8, 3, 0, "aaaa bbbb cccc"), (2, 7, 2, 0, "bbbb cccc"), (2, 8, 2, 0, "bbbb cccc"), (3, 8, 0, 1, "")]
+    assert [tuple(r.values())[1:] for r in whole] == [(1, 7, 2, 0, 1.2, "bbbb cccc"), (1, 8, 3, 0, 1.3, "aaaa bbbb cccc"), (2, 7, 2, 0, 1.2, "bbbb cccc"), (2, 8, 2, 0, 1.2, "bbbb cccc"), (3, 8, 0, 1, 1.2, "")]
     monkeypatch.setattr(edges, "MEETINGS", 1)
     assert edges._shared_terms((pa.scalar(4),), settings, code).to_pylist() == whole
 
